@@ -1,0 +1 @@
+"""operators of the event-log repair library."""

@@ -1,0 +1 @@
+"""plans of the event-log repair library."""

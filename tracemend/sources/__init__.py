@@ -1,0 +1 @@
+"""sources of the event-log repair library."""

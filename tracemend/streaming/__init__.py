@@ -1,0 +1 @@
+"""streaming of the event-log repair library."""
