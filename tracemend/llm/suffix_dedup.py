@@ -14,8 +14,7 @@ only suffixes that begin at anchors, one in about thirty, need sorting:
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,8 +136,11 @@ def settle(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return some[later], all_first, several, ranks
 
 
-def gather(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """doc_id, spans that are removed whole, anchors whose suffixes must be sorted."""
+def gather(docs: DataFrame, buckets: int, length: int, find: Callable[[list[bytes], list[int]], np.ndarray]) -> DataFrame:
+    """doc_id, spans that are removed whole, anchors whose suffixes must be sorted.
+
+    find: the ASK records of some texts; a record spans `more` + `length` bytes from `back` bytes before `a`.
+    """
 
     def send(batches: Iterator[dict]) -> Iterator[dict]:
         task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -161,7 +163,7 @@ def gather(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
         for b in batches:
             for ids, texts in text_slices(b["doc_id"], b["text"], 1 << 20):
                 raw = [t.encode() for t in texts]
-                held.append(anchors(raw, ids, length, gram))
+                held.append(find(raw, ids))
                 size += sum(map(len, raw))
                 if size >= SLICE_BYTES:
                     yield flush()
@@ -187,7 +189,7 @@ def gather(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
         back = ordered["of"][np.searchsorted(ordered[["doc", "a"]], want)] if len(found) else np.empty(0, np.int64)
         order = np.argsort(back, kind="stable")
         names, begin = np.unique(back[order], return_index=True)
-        ends = np.append(begin[1:], len(back))
+        ends = np.append(begin[1:], len(back))[: len(begin)]
         out_slice = [int(s) for s in names] + [int(s) for s, t in zip(slices, told, strict=True) if len(t)]
         out = [found[order[i:j]].tobytes() for i, j in zip(begin, ends, strict=True)] + [t.tobytes() for t in told if len(t)]
         return pa.table({"slice": pa.array(out_slice, pa.int64()), "told": pa.array(out, pa.binary())})
@@ -197,7 +199,7 @@ def gather(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
         x = x[np.lexsort((x["a"], x["doc"]))]
         docs, begin = np.unique(x["doc"], return_index=True)
         spans, rest = [], []
-        for i, j in zip(begin, np.append(begin[1:], len(x)), strict=True):
+        for i, j in zip(begin, np.append(begin[1:], len(x))[: len(begin)], strict=True):
             d = x[i:j]
             w = d[d["whole"] == 1]
             lo = w["a"].astype(np.int64) - w["back"]
@@ -352,7 +354,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36) -> DataFr
     total = brief.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ids = copies.select("doc_id")
     single = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
-    told = scratch.keep(gather(single, max(8, -(-total // BUCKET_BYTES)), length, gram))
+    told = scratch.keep(gather(single, max(8, -(-total // BUCKET_BYTES)), length, lambda texts, ids: anchors(texts, ids, length, gram)))
     needed = told.where("octet_length(rest) > 0").select("doc_id").distinct()
     few = needed.count() <= BROADCAST_ROWS
     some = single.join(F.broadcast(needed), "doc_id", "left_semi") if few else single
