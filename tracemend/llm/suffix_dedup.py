@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from tracemend.llm.common import Scratch, map_arrow, table, text_slices
 
-SLICE_BYTES = 32 << 20  #: text whose anchors a task compares before it sends them
-BUCKET_BYTES = 12 << 20  #: text for each hash bucket
-SUFFIXES = 25_000  #: suffixes that a range bucket aims at
+SLICE_BYTES = 8 << 20  #: text whose anchors a task compares before it sends them
+BUCKET_BYTES = 3 << 20  #: text for each hash bucket
+SUFFIXES = 15_000  #: suffixes that a range bucket aims at
 BROADCAST_ROWS = 500_000  #: up to so many ids are broadcast; more are joined by a shuffle
 BROADCAST_SPANS = 1_000_000
 
@@ -161,7 +161,7 @@ def gather(docs: DataFrame, buckets: int, length: int, find: Callable[[list[byte
             return out
 
         for b in batches:
-            for ids, texts in text_slices(b["doc_id"], b["text"], 1 << 20):
+            for ids, texts in text_slices(b["doc_id"], b["text"], 256 << 10):
                 raw = [t.encode() for t in texts]
                 held.append(find(raw, ids))
                 size += sum(map(len, raw))
