@@ -11,6 +11,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -56,6 +58,9 @@ def map_arrow(df: DataFrame, schema: str, each: Callable[[Iterator[dict]], Itera
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = out or to_arrow_schema(_parse_datatype_string(schema))
+    conf = df.sparkSession.conf
+    if conf.get(BATCH) == "67108864b":  # the default; a batch of long texts stays small in the JVM and the worker
+        conf.set(BATCH, f"{BATCH_BYTES}b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def columns() -> Iterator[dict]:
