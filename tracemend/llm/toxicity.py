@@ -19,6 +19,7 @@ from tracemend.llm.common import map_arrow, table, text_slices
 
 SAMPLE_ROWS = 20_000  #: labelled rows that a fit uses at most
 FEATURES = 3000  #: features that are kept
+LEAST_GAP = 3.0  #: standard errors by which the labels must differ on a feature
 BUCKETS = 1 << 20  #: hash buckets of candidate features
 SWAPS = 3  #: swapped copies of a labelled text
 
@@ -85,7 +86,7 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def fit(rows: list, pairs: list[tuple], label: np.ndarray, k: int, fairness: float = 3.0, ridge: float = 0.1, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit(rows: list, pairs: list[tuple], label: np.ndarray, k: int, fairness: float = 3.0, ridge: float = 0.5, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on: weighted logistic loss + ridge/n |w|^2 + fairness * mean squared swap difference.
 
     rows: active features of each text; pairs: active features of a text and of its swapped copy.
@@ -141,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, fairness:
     p, q = F.col("n1") / total["n1"], F.col("n0") / total["n0"]
     both = (F.col("n0") + F.col("n1")) / (total["n0"] + total["n1"])
     gap = (p - q) / F.sqrt(both * (1 - both) * (1 / total["n1"] + 1 / total["n0"]) + 1e-9)
-    chosen = frozenset(r[0] for r in counts.where("bucket >= 0 and n0 + n1 >= 4").orderBy(F.abs(gap).desc(), "bucket").limit(FEATURES).collect())
+    chosen = frozenset(r[0] for r in counts.where((F.col("bucket") >= 0) & (F.col("n0") + F.col("n1") >= 4) & (F.abs(gap) >= LEAST_GAP)).orderBy(F.abs(gap).desc(), "bucket").limit(FEATURES).collect())
 
     def active(words: set[str], names: dict[str, int] | None = None) -> list[str]:
         return sorted({p for w in words for p in parts(w) if bucket(p) in chosen})
