@@ -9,7 +9,9 @@ one bin holds and so a number bounded by the capacity alone, is packed together
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 from pyspark import TaskContext
@@ -37,33 +39,59 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return out
 
 
+#: Texts of white space, Latin letters without combining marks, digits and ASCII marks: lower-casing is plain there, there
+#: is nothing to normalise, and the tokenizer's pattern for pre-tokens reads as SPLIT. The dotted capital I is left out.
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f"
+PLAIN = re.compile("[A-Z\u00c0-\u00d6\u00d8-\u00de" + LETTERS + "0-9!-/:-@\\[-`{-~ \t\n\r\f\v]*").fullmatch
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[" + LETTERS + "]+|[0-9]|[!-/:-@\\[-`{-~]+").findall
+
+
+def byte_letters() -> dict[int, str]:
+    """Characters below 0x180 as byte-level BPE writes their UTF-8 bytes: printable Latin-1 as itself, the rest from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    letter = {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x180)}
+
+
 class WordIds(dict):
-    """Little-endian 32-bit ids of words between white space, by the library on first sight, kept up to a bound.
+    """Little-endian 32-bit ids of pre-tokens, by the library's BPE model on first sight, kept up to a bound.
 
-    The tokenizer drops white space and no pre-token, normalisation or special token reaches across it.
+    Plain texts are cut into pre-tokens here. In others, the chunks between white space are taken one by one: no
+    pre-token, normalisation or special token reaches across it; those that aren't plain go through the whole tokenizer.
     """
 
     def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import numpy as np
         from tokenizers import Tokenizer
 
-        self.library, self.most, self.np = Tokenizer.from_file(path), most, np
+        self.library, self.most, self.letters = Tokenizer.from_file(path), most, byte_letters()
+        self.model = self.library.model
+        tries = ["Thanth, ÉTION", "leœuvre", "... ''s don't", "ß!!", "ñ%%% 12a3", "A"]
+        self.direct = all(self.of_plain(t) == self.whole(t) for t in tries)  # another kind of tokenizer takes the long way
+
+    def whole(self, chunk: str) -> bytes:
+        return array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, pre: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = self.np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) < 64:
-            self[word] = ids
+        ids = array("I", [t.id for t in self.model.tokenize(pre.translate(self.letters))]).tobytes()
+        if len(pre) < 64:
+            self[pre] = ids
         return ids
 
+    def of_plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, SPLIT(text.lower())))
+
     def of(self, text: str) -> bytes:
+        plain = lambda t: self.direct and PLAIN(t) and "<|" not in t
+        if plain(text):
+            return self.of_plain(text)
         # str.split() also cuts at four control characters that the tokenizer keeps
-        words = [text] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        return b"".join(map(self.__getitem__, words))
+        chunks = [text] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        return b"".join(self.of_plain(c) if plain(c) else self.whole(c) for c in chunks)
 
 
 def library_encoder(path: str) -> Callable[[], Callable[[str], bytes]]:
