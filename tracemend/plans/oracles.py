@@ -179,4 +179,5 @@ SELECT seq, CASE WHEN k % 5 <> 0 THEN event_type || '_' || u || '_' || CASE WHEN
 CAST(CASE WHEN k % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN k % 4 <> 0 THEN 1 ELSE 0 END AS INTEGER) AS counters, CASE WHEN k % 4 <> 0 THEN k % 4 ELSE -1 END AS mid FROM t""",
     "wide_csv_maps": f"WITH {LOG} SELECT seq, json_extract_string(props, '$.k') AS k, round(value, 6) AS value FROM log",
     "label_filter": f"WITH {LOG} SELECT activity, count(*) AS n, round(sum(value), 2) AS total FROM log WHERE activity IS NOT NULL AND lower(trim(activity)) NOT IN ('', 'nan', 'null', 'none', 'na') AND NOT regexp_matches(activity, '^LogWindow_(train|test)$') GROUP BY 1",
+    "xes_round_trip": f"WITH {LOG} SELECT row_number() OVER (ORDER BY ts) - 1 AS seq, case_id, activity, json_extract_string(props, '$.k') AS k, value FROM log",
 }

@@ -45,7 +45,8 @@ def read_ticket_csv(spark: SparkSession, path: str, fields: dict[str, str], drop
     """A CSV log with columns of its own: `fields` names them for the model, `drop` leaves some out, the rest are attributes."""
     df = spark.read.option("header", True).csv(path)
     rest = {c: c for c in df.columns if c not in fields and c not in drop}
-    return canonical(df.select("*", *(F.col(f"`{c}`").alias(f) for c, f in fields.items() if f not in df.columns)), gathered(rest), gathered({}))
+    kept = df.select(*(F.col(f"`{c}`").alias(f) for c, f in fields.items()), gathered(rest).alias("_rest"))
+    return canonical(kept, F.col("_rest"), gathered({}))
 
 
 def write_log(log: DataFrame, path: str, partitions: list[str] | None = None) -> None:

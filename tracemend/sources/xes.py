@@ -81,7 +81,8 @@ def write_xml(log: DataFrame, path: str) -> None:
     strings = F.filter(F.array(pair("concept:name", F.col("activity")), pair("lifecycle:transition", F.col("lifecycle")), pair("org:resource", F.col("resource"))), lambda p: p["_value"].isNotNull())
     extra = F.transform(F.map_entries(F.coalesce("attributes", F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("_key"), e["value"].alias("_value")))
     stamp = F.array(pair("time:timestamp", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")))
-    point = lambda e: F.struct(F.lit("stream:point").alias("_key"), F.element_at(F.split(e["key"], "/", 2), 1).alias("_stream:source"), F.try_element_at(F.split(e["key"], "/", 2), F.lit(2)).alias("_stream:id"), F.array(F.struct(F.lit("stream:value").alias("_key"), e["value"].alias("_value"))).alias("string"))
+    text = lambda k, v: F.struct(F.lit(k).alias("_key"), v.alias("_value"))
+    point = lambda e: F.struct(F.lit("stream:point").alias("_key"), F.array(text("stream:source", F.element_at(F.split(e["key"], "/", 2), 1)), text("stream:id", F.coalesce(F.try_element_at(F.split(e["key"], "/", 2), F.lit(2)), F.lit(""))), text("stream:value", e["value"])).alias("string"))
     stream = F.transform(F.map_entries("sensors_raw"), point)
     lists = F.when(F.size("sensors_raw") > 0, F.array(F.struct(F.lit("stream:datastream").alias("_key"), stream.alias("list"))))
     events = log.select("case_id", "seq", F.struct(F.concat(strings, extra).alias("string"), stamp.alias("date"), lists.alias("list")).alias("e"))
