@@ -28,7 +28,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         import xxhash
 
         self.hash, self.most = xxhash.xxh3_64_intdigest, most
@@ -180,8 +180,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     classes = scratch.keep(some.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     first = some.join(classes, (F.col("doc_id") == F.col("rep")) & (sketch["digest"] == classes["digest"])).select("rep", "bands").dropDuplicates(["rep"])
     banded = first.select("rep", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "rep").alias("h"), "rep"))["rep"].alias("pivot")).where("n > 1")
-    multi = scratch.keep(banded.join(buckets, "key").select("key", "rep", "pivot", "n"))
+    # the pivot is the member least after a mix with the key, so that the buckets of a group have different pivots
+    mixed = F.col("rep").bitwiseXOR(F.col("key"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min(mixed).alias("least")).where("n > 1")
+    multi = scratch.keep(banded.join(buckets, "key").select("key", "rep", F.col("least").bitwiseXOR(F.col("key")).alias("pivot"), "n"))
     needed = scratch.keep(multi.select(F.col("rep").alias("doc_id")).distinct())
     few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sets = scratch.keep(some.select("doc_id", "n_shingles", "shingles").join(F.broadcast(needed) if few else needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

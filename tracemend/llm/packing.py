@@ -60,7 +60,7 @@ class WordIds(dict):
     pre-token, normalisation or special token reaches across it; those that aren't plain go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
