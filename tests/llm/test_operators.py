@@ -396,6 +396,18 @@ def test_chat_round_trip(spark):
     assert rows(chat.read_back(chat.format_conversations(df.limit(0)))) == []
 
 
+@pytest.mark.parametrize("last", ["", None])
+def test_chat_is_cut_between_turns_only(spark, last):
+    """A turn's header passes the size of a part just before an empty text."""
+    df = spark.createDataFrame([(1, 0, "user", "x" * 100), (1, 1, "assistant", last), (1, 2, "user", "end")], "conv_id long, turn long, role string, text string")
+    head = len("<|im_start|>user\n" + "x" * 100 + "<|im_end|>\n<|im_start|>assistant\n")
+    for most in (head - 1, head):
+        parts = sorted((r["part"], r["formatted"]) for r in rows(chat.format_conversations(df, part_chars=most)))
+        assert len(parts) > 1 and all(p == "" or p.endswith("<|im_end|>\n") for _, p in parts)
+        got = rows(chat.read_back(chat.format_conversations(df, part_chars=most)))
+        assert [(r["n_turns"], r["turns_sha256"]) for r in got] == [(3, hashlib.sha256(f"user\n{'x' * 100}\nassistant\n\nuser\nend\n".encode()).hexdigest())]
+
+
 def test_templates():
     run = lambda source, **env: "".join(t for t, _ in chat.compile_template(source)(env))
     assert run("{% for x in xs %}{{ loop.index }}{{ x.a | upper }}{% if not loop.last %}, {% endif %}{% endfor %}", xs=[{"a": "p"}, {"a": "q"}]) == "1P, 2Q"

@@ -454,7 +454,8 @@ CHAT_TEMPLATE = (
 def parts(pieces: Iterable[Piece], most: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
     """Output text and its generation spans, cut at breaks into parts of about `most` characters."""
     text, spans, size, some = [], [], 0, False
-    for piece, inside in pieces:
+    for each in pieces:
+        piece, inside = each
         if piece:
             if inside and spans and spans[-1][1] == size and some:
                 spans[-1] = (spans[-1][0], size + len(piece))
@@ -463,7 +464,7 @@ def parts(pieces: Iterable[Piece], most: int) -> Iterator[tuple[str, list[tuple[
             some = inside
             text.append(piece)
             size += len(piece)
-        elif size >= most:
+        elif each is BREAK and size >= most:  # an empty role or text is no break
             yield "".join(text), spans
             text, spans, size, some = [], [], 0, False
     yield "".join(text), spans
