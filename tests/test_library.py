@@ -1,5 +1,6 @@
 """Parts that SQL cannot express, against small expectations."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tracemend.functions import columns as C
 from tracemend.operators import autoencoder, calibration, clusters, cooccurrence, discovery, drift, features, inject, metrics, prefixes, sequence, temporal
+from tracemend.plans import models
+from tracemend.schema import from_events
 from tracemend.sources import clinical, syscalls, tables, xes
 from tracemend.streaming import cases, snapshot
 
@@ -173,6 +176,48 @@ def test_stream_repair_by_micro_batches(spark, tmp_path):
     assert {r["seq"]: r for r in rows(target.results())} == again
 
 
+def by_pieces(events, cuts, order=2, dominance=0.25, support=5):
+    """The repair of rows (seq, case_id, activity) piece by piece, each with the counts and tails of those before."""
+    counts, tails, want = {}, {}, {}
+    for lo, hi in zip([-math.inf, *cuts], [*cuts, math.inf], strict=True):
+        new = []
+        for seq, case, activity in sorted(e for e in events if lo <= e[0] < hi):
+            tail = tails.setdefault(case, [])
+            prefix = ">".join(([""] * order + tail)[-order:])
+            tail.append(activity or "?")
+            if activity:
+                want[seq] = activity
+                new.append((prefix, activity))
+            else:
+                n, best = max(((n, a) for a, n in counts.get(prefix, {}).items()), default=(0, None))
+                total = sum(counts.get(prefix, {}).values())
+                want[seq] = best if total >= support and n >= dominance * total else None
+        for prefix, activity in new:
+            mine = counts.setdefault(prefix, {})
+            mine[activity] = mine.get(activity, 0) + 1
+    return want
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_registered_stream_repairs_by_pieces(spark, tmp_path, parts):
+    """A table of one file or of part files in no order: labels are recovered, and are those of the batch form."""
+    draw = random.Random(2)
+    data = [(i, datetime(2024, 1, 1) + timedelta(minutes=i), draw.randrange(12), "abcd"[(i // 12 + draw.randrange(2)) % 4], 1.0, "{}") for i in range(900)]
+    draw.shuffle(data)
+    df = spark.createDataFrame(data, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    df.repartition(parts).write.parquet(f"file://{tmp_path}/events.parquet")
+    got = {r["seq"]: r for r in rows(models.stream_repair_snapshot(spark, f"file://{tmp_path}"))}
+    cuts = snapshot.bounds(from_events(spark, f"file://{tmp_path}"))
+    want = by_pieces([(i, str(u), a if i % 10 != 7 else None) for i, _, u, a, *_ in data], cuts)
+    assert len(cuts) == snapshot.LEAST_PIECES - 1 and {s: r["recovered"] for s, r in got.items()} == want
+    assert sum(r["provenance"] == "RECOVERED_ML_SEQ" for r in got.values()) > 40
+
+
+def test_registered_stream_of_no_events(spark, tmp_path):
+    spark.createDataFrame([], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"file://{tmp_path}/events.parquet")
+    assert rows(models.stream_repair_snapshot(spark, f"file://{tmp_path}")) == []
+
+
 def test_case_state_on_a_stream(spark, tmp_path):
     log = small_log(spark, 60)
     log.coalesce(1).write.parquet(f"{tmp_path}/in")

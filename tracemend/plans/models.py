@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracemend.operators import autoencoder, calibration, clusters, discovery, drift, features, sequence
 from tracemend.schema import from_events
-from tracemend.streaming.snapshot import SnapshotRepair, start
+from tracemend.streaming.snapshot import SnapshotRepair, replay
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -76,12 +76,10 @@ def adwin_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_repair_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, repaired by micro-batches."""
+    """The events table as a stream in order of its ids, repaired by micro-batches."""
     folder = _folder(spark, "stream")
-    source = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    events = source.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("case_id"), F.when(F.col("event_id") % 10 != 7, F.col("event_type")).alias("activity"), F.col("event_type").alias("truth"))
     target = SnapshotRepair(spark, f"{folder}/state", order=2, dominance=0.25, support=5)
-    start(events, target, f"{folder}/checkpoint").awaitTermination()
+    replay(from_events(spark, sf_dir).select("seq", "case_id", "activity", "truth"), target, folder)
     return target.results().drop("batch")
 
 
