@@ -245,6 +245,24 @@ def test_chunks(docs, none):
     assert rows(chunk_dedup.repeated_chunks(none)) == []
 
 
+def test_chunks_before_a_short_tail(spark):
+    """A text whose last cut falls just after a forced end, and an exact copy: lengths are true and no chunk is under the least."""
+    assert chunk_dedup.boundaries([257], 260, 32, 256) == [260]
+    draw = random.Random(6)
+    for _ in range(2000):
+        size = draw.randrange(32, 900)
+        sizes = np.diff([0, *chunk_dedup.boundaries(sorted(draw.sample(range(1, size + 1), draw.randrange(6))), size, 32, 256)])
+        assert sizes.sum() == size and sizes.min() >= 32 and sizes.max() < 256 + 32
+    cuts = lambda t: np.flatnonzero(chunk_dedup.gear_hashes(np.frombuffer(t.encode(), np.uint8)) >> np.uint32(27) == 0) + 1
+    letters = [chr(c) for c in range(33, 127)]
+    flat = next(c * 256 for c in letters if not len(cuts(c * 256)))
+    t = next(x for a in letters for b in letters if len(k := cuts(x := flat + a + b + a + b)) and k[0] > 256)
+    df = spark.createDataFrame([(1, t, "en", 0), (2, t, "en", 0)], DOCS)
+    got = {r["doc_id"]: r for r in rows(suffix_dedup.cut_spans(df, chunk_dedup.repeated_chunks(df)))}
+    assert [sum(s["end"] - s["start"] for s in got[i]["removed"]) for i in (1, 2)] == [0, len(t)]
+    assert [bytes(got[i]["kept"]).decode() for i in (1, 2)] == [t, ""]
+
+
 def test_chunks_resist_shifts():
     draw = random.Random(4)
     t = prose(draw, 400).encode()

@@ -30,7 +30,7 @@ def boundaries(cuts: list[int], size: int, least: int, most: int) -> list[int]:
     """Ends of the chunks of a text: the first cut at `least` bytes or more, at most `most`; a short tail joins the last."""
     ends, at = [], 0
     for c in cuts:
-        while c - at > most:
+        while c - at > most and size - at >= most + least:
             at += most
             ends.append(at)
         if c - at >= least and size - c >= least:
