@@ -176,6 +176,24 @@ def test_stream_repair_by_micro_batches(spark, tmp_path):
     assert {r["seq"]: r for r in rows(target.results())} == again
 
 
+@pytest.mark.parametrize("n", [289, 300])
+def test_decay_by_additions(spark, n):
+    """Against the sequential rule: masked events don't count, and a pair that lapses and comes back starts from 0."""
+    draw = random.Random(7)
+    data = [(i, "c", None if i % 10 == 7 else "z" if i in (3, 4, 260, 261) else draw.choice("ab")) for i in range(n)]
+    table, added, last = {}, 0, ""
+    for _, _, a in data:
+        if a:
+            table[last, a] = table.get((last, a), 0.0) + 1
+            added += 1
+            if added % 9 == 0:
+                table = {k: v * 0.9 for k, v in table.items() if v * 0.9 >= 0.1}
+        last = a or "?"
+    df = spark.createDataFrame(data, "seq long, case_id string, activity string")
+    got = {(r["prefix"], r["activity"]): r["weight"] for r in rows(prefixes.decayed_by_additions(df, 1, 9, 0.9, 0.1))}
+    assert got.keys() == table.keys() and all(abs(got[k] - v) < 1e-5 for k, v in table.items())
+
+
 def by_pieces(events, cuts, order=2, dominance=0.25, support=5):
     """The repair of rows (seq, case_id, activity) piece by piece, each with the counts and tails of those before."""
     counts, tails, want = {}, {}, {}

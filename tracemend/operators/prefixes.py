@@ -60,7 +60,10 @@ def veto(proposals: DataFrame, cache: DataFrame, dominance: float = 0.9, support
 
 
 def decayed_counts(log: DataFrame, order: int, every: int, factor: float, least: float) -> DataFrame:
-    """Counts that lose `factor` after each `every` additions, in closed form: a count of age k epochs weighs factor**k."""
+    """Counts that lose `factor` at each `every` of seq, masked events included, in closed form: a count of age k epochs weighs factor**k.
+
+    The query's SQL says this; a weight is compared with `least` at the end only. `decayed_by_additions` is the cache's own rule.
+    """
     t = with_prefix(log, order).where("activity is not null")
     epoch = F.floor(F.col("seq") / every)
     last = t.agg(F.max(epoch).alias("last"))
@@ -68,6 +71,28 @@ def decayed_counts(log: DataFrame, order: int, every: int, factor: float, least:
     return t.select("prefix", "activity", epoch.alias("epoch")).crossJoin(F.broadcast(last)).groupBy("prefix", "activity").agg(F.round(F.sum(w), 6).alias("weight")).where(F.col("weight") >= least)  # one row
 
 
+def decayed_by_additions(log: DataFrame, order: int, every: int, factor: float, least: float) -> DataFrame:
+    """Counts that lose `factor` after each `every` additions in order of seq; what a decay leaves under `least` is gone and starts from 0."""
+    keys, parts = ("seq", "prefix", "activity"), int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = with_prefix(log, order).where("activity is not null").select(*keys).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    t = t.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33)).withColumn("_row", F.col("_row").bitwiseAND((1 << 33) - 1))
+    sizes = t.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
+    epoch = F.floor((F.col("_row") + F.col("_before")) / every).alias("epoch")
+    added = t.join(F.broadcast(before), "_part").groupBy("prefix", "activity", epoch).agg(F.count("*").alias("n"))
+    decays = sizes.agg(F.floor(F.sum("_n") / every).alias("decays"))
+
+    def kept(weight, times):
+        left = weight * F.pow(F.lit(factor), times)
+        return F.when((times > 0) & (left < least), 0.0).otherwise(left)
+
+    start = F.struct(F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("epoch"))
+    fold = lambda a, x: F.struct((kept(a["weight"], x["epoch"] - a["epoch"]) + x["n"]).alias("weight"), x["epoch"].alias("epoch"))
+    pairs = added.groupBy("prefix", "activity").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("epoch", "n"))), start, fold).alias("a"))  # a row for each epoch
+    end = pairs.crossJoin(F.broadcast(decays)).select("prefix", "activity", kept(F.col("a.weight"), F.col("decays") - F.col("a.epoch")).alias("weight"))  # one row
+    return end.where(F.col("weight") > 0).withColumn("weight", F.round("weight", 6))
+
+
 def contamination(repaired: DataFrame, width: int) -> DataFrame:
     """Share of the `width` events before each repaired event whose label was not given, and how many there were."""
     frame = by_case().rowsBetween(-width, -1)

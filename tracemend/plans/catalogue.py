@@ -279,6 +279,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "inject_burst": lambda s, d: inject.mask_bursts(log(s, d), 20, 3),
     "count_cache_top": lambda s, d: prefixes.top_next(log(s, d), 2),
     "count_cache_decayed": lambda s, d: prefixes.decayed_counts(log(s, d), 1, 1000, 0.9, 0.1),
+    "count_cache_decayed_by_additions": lambda s, d: prefixes.decayed_by_additions(log(s, d), 1, 1000, 0.9, 0.1),
     "count_cache_causal_repair": repaired,
     "class_weights": lambda s, d: prefixes.balanced_weights(log(s, d)),
     "prefix_contamination": lambda s, d: prefixes.contamination(repaired(s, d), 10),
