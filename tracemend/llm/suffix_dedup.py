@@ -114,26 +114,20 @@ def tell(x: np.ndarray, whole: bool) -> np.ndarray:
 
 
 def settle(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted-out records: repeats of an earlier span; the first of each span; whether its gram has several spans; rank of that span in its gram."""
-    _, inverse, count = np.unique(x["gram"], return_inverse=True, return_counts=True)
-    lone = count[inverse] == 1
-    some = x[~lone]
-    some = some[np.lexsort((some["a"], some["doc"], some["span"], some["gram"]))]
-    new_gram = np.ones(len(some), bool)
-    new_gram[1:] = some["gram"][1:] != some["gram"][:-1]
+    """Places in `x` of: repeats of an earlier span; the first of each span; whether its gram has several spans; rank of that span in its gram."""
+    order = np.lexsort((x["a"], x["doc"], x["span"], x["gram"])) if len(x) else np.empty(0, np.int64)
+    gram, span = x["gram"][order], x["span"][order]
+    new_gram = np.ones(len(x), bool)
+    new_gram[1:] = gram[1:] != gram[:-1]
     new = new_gram.copy()
-    new[1:] |= some["span"][1:] != some["span"][:-1]
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))
-    later = (some["doc"] != some["doc"][lead]) | (some["a"] != some["a"][lead])
-    g = np.cumsum(new_gram) - 1
-    spans = np.bincount(g[new], minlength=g[-1] + 1 if len(g) else 0)
-    rank = np.cumsum(new) - 1
-    rank = rank - (np.concatenate([[0], np.cumsum(spans)[:-1]])[g] if len(g) else 0)
-    firsts = new
-    all_first = np.concatenate([x[lone], some[firsts]])
-    several = np.concatenate([np.zeros(lone.sum(), bool), spans[g[firsts]] > 1 if len(g) else np.zeros(0, bool)])
-    ranks = np.concatenate([np.zeros(lone.sum(), np.int64), rank[firsts]])
-    return some[later], all_first, several, ranks
+    new[1:] |= span[1:] != span[:-1]
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))]
+    later = (x["doc"][order] != x["doc"][lead]) | (x["a"][order] != x["a"][lead])  # a repeated row is no repeat
+    first = np.flatnonzero(new)
+    group = np.cumsum(new_gram)[first] - 1
+    spans = np.bincount(group)
+    rank = np.arange(len(first)) - (np.cumsum(spans) - spans)[group] if len(first) else np.empty(0, np.int64)
+    return order[later], order[first], spans[group] > 1 if len(first) else np.empty(0, bool), rank
 
 
 def gather(docs: DataFrame, buckets: int, length: int, find: Callable[[list[bytes], list[int]], np.ndarray]) -> DataFrame:
@@ -149,9 +143,10 @@ def gather(docs: DataFrame, buckets: int, length: int, find: Callable[[list[byte
             x = np.concatenate(held) if held else np.empty(0, ASK)
             repeats, first, several, rank = settle(x)
             mine = task * (1 << 31) + n
-            ask = first[~several | (rank < 2)]  # two spans show that a gram has several
-            known = [tell(repeats, True), tell(first[several & (rank >= 2)], False)]
-            bucket = ((ask["gram"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            ask = x[first[~several | (rank < 2)]]  # two spans show that a gram has several
+            known = [tell(x[repeats], True), tell(x[first[several & (rank >= 2)]], False)]
+            # anchors have small hashes, so they are mixed before they are dealt out
+            bucket = ((ask["gram"] * np.uint64(ODD[8]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(edges))
@@ -177,16 +172,9 @@ def gather(docs: DataFrame, buckets: int, length: int, find: Callable[[list[byte
         told = [np.frombuffer(x.as_buffer(), TOLD) for x in rows["told"]]
         x = np.concatenate(asked)
         of = np.repeat(slices, [len(y) for y in asked])
-        key = np.empty(len(x), [("doc", "<i8"), ("a", "<u4"), ("of", "<i8")])
-        key["doc"], key["a"], key["of"] = x["doc"], x["a"], of
         repeats, first, several, _ = settle(x)
-        found = np.concatenate([tell(repeats, True), tell(first[several], False)])
-        by = np.argsort(key, order=["doc", "a"], kind="stable") if len(found) else np.empty(0, np.int64)
-        ordered = key[by]
-        want = np.empty(len(found), [("doc", "<i8"), ("a", "<u4")])
-        want["doc"], want["a"] = found["doc"], found["a"]
-        # (doc, a) as one sortable number where ids allow it, else by structured search
-        back = ordered["of"][np.searchsorted(ordered[["doc", "a"]], want)] if len(found) else np.empty(0, np.int64)
+        found = np.concatenate([tell(x[repeats], True), tell(x[first[several]], False)])
+        back = of[np.concatenate([repeats, first[several]])]
         order = np.argsort(back, kind="stable")
         names, begin = np.unique(back[order], return_index=True)
         ends = np.append(begin[1:], len(back))[: len(begin)]
