@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemend.llm.common import Scratch, table
-from tracemend.llm.suffix_dedup import ASK, BUCKET_BYTES, SPANS, cut_spans, gather
+from tracemend.llm.suffix_dedup import ASK, BUCKET_BYTES, SPANS, cut_spans, gather, keyed, named
 
 GEAR = np.random.default_rng(23).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -62,23 +62,26 @@ def chunks(texts: list[bytes], ids: list[int], least: int, most: int, bits: int)
     return x
 
 
-def repeated_chunks(docs: DataFrame, least: int = 32, most: int = 256, bits: int = 5) -> DataFrame:
+def repeated_chunks(docs: DataFrame, least: int = 32, most: int = 128, bits: int = 4, least_run: int = 100) -> DataFrame:
     """doc_id and spans of the chunks that also stand earlier: in a smaller doc_id or before in the same document.
 
     Chunks have `least` bytes and a mean of 2**bits more, `most` and a tail of under `least` at most (which must fit a byte above
-    `least`). Texts under `least` bytes, nulls among them, and rows with a null doc_id are left whole. Rows that repeat
-    an id and text are one document. Only documents with such chunks get a row.
+    `least`). Repeated chunks go where they run on for `least_run` bytes together: a phrase of one chunk is no passage. Texts under `least` bytes, nulls among them, and rows with a null doc_id are left whole. Rows that repeat
+    an id and text are one document; where an id has several texts, `digest` (md5) tells them apart and orders them. Only
+    documents with such chunks get a row.
     """
     if most - 1 > 255 or bits > 16:
         raise ValueError("most - 1 must fit a byte")
     scratch = Scratch(docs.sparkSession, "chunks")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= least))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    docs, brief, keys = keyed(scratch, docs, least)
+    total = brief.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     told = scratch.keep(gather(docs, max(8, -(-total // BUCKET_BYTES)), least, lambda texts, ids: chunks(texts, ids, least, most, bits)))
-    return told.where(F.size("spans") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).cast(SPANS).alias("spans"))
+    long = F.filter("spans", lambda r: r["end"] - r["start"] >= least_run)  # spans of a document are its maximal runs
+    return named(told.select("doc_id", long.alias("spans")).where(F.size("spans") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).cast(SPANS).alias("spans")), keys)
 
 
 def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document: its bytes, those removed, in how many spans, and the digest of the rest. Nulls, empties and repeats as in repeated_chunks."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     cut = cut_spans(docs, repeated_chunks(docs))
     lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["start"]))

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one is set only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; in local mode, as in tests, a temporary one is set where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='tracemend-')}"
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -52,6 +54,39 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """A column name that is not taken; names are compared as Spark does, without case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fields_of(df: DataFrame, *without: str) -> str:
+    """The columns of df as a schema string, whatever their names."""
+    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in without)
+
+
+def row_keys(scratch: Scratch, rows: DataFrame) -> DataFrame | None:
+    """(doc_id, digest, key) where some doc_id has several digests, else None: then doc_id itself is a key of its text.
+
+    Keys are dense numbers in order of doc_id and digest, from a range partition and the sizes of its partitions.
+    """
+    ranges = rows.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    if not ranges.where("lo <> hi").limit(1).count():
+        return None
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = rows.select("doc_id", "digest").distinct().repartitionByRange(n, "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+    t = scratch.keep(t.withColumn("key", F.monotonically_increasing_id()).withColumn("part", F.shiftright("key", 33)))
+    sizes = t.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each partition
+    return scratch.keep(t.join(F.broadcast(before), "part").select("doc_id", "digest", (F.col("key").bitwiseAND((1 << 33) - 1) + F.col("before")).alias("key")))
+
+
 def map_arrow(df: DataFrame, schema: str, each: Callable[[Iterator[dict]], Iterator[dict]], out: pa.Schema | None = None) -> DataFrame:
     """mapInArrow over column lists: `each` gets and yields dicts of lists or arrays, one for each batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -103,7 +138,7 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFram
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = scratch.keep(small)
-        mark = new.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
+        mark = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()  # edges are distinct
         scratch.drop(cur)
         cur = new
         if mark == before:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemend.llm.common import Scratch, map_arrow, table, text_slices
+from tracemend.llm.common import Scratch, fields_of, fresh, map_arrow, row_keys, table, text_slices
 
 SLICE_BYTES = 8 << 20  #: text whose anchors a task compares before it sends them
 BUCKET_BYTES = 3 << 20  #: text for each hash bucket
@@ -150,7 +150,7 @@ def gather(docs: DataFrame, buckets: int, length: int, find: Callable[[list[byte
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(edges))
-            out = {"bucket": [*some, mine % buckets], "slice": [mine] * (len(some) + 1)}
+            out = {"bucket": [*some, (task * 7919 + n) % buckets], "slice": [mine] * (len(some) + 1)}
             out["asked"] = [*(ask[order[edges[b] : edges[b + 1]]].tobytes() for b in some), b""]
             out["told"] = [*([b""] * len(some)), np.concatenate(known).tobytes()]
             return out
@@ -325,19 +325,41 @@ def compare_suffixes(scratch: Scratch, rows: DataFrame, length: int, gram: int)
     return found.where("string is null").select("doc_id", "start", "end").unionByName(later)
 
 
+def keyed(scratch: Scratch, docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Texts of at least `least` bytes with an id, as (doc_id: a key in order of ids, text); their (doc_id, digest, n bytes), stored; keys where some id has several texts."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= least))
+    digest = F.unhex(F.md5("text")).alias("digest")
+    brief = scratch.keep(docs.select("doc_id", digest, F.octet_length("text").alias("n")))
+    keys = row_keys(scratch, brief)
+    if keys is not None:
+        docs = docs.select("doc_id", digest, "text").join(keys, ["doc_id", "digest"]).select(F.col("key").alias("doc_id"), "text")
+        brief = scratch.keep(brief.join(keys, ["doc_id", "digest"]).select(F.col("key").alias("doc_id"), "digest", "n"))
+    return docs, brief, keys
+
+
+def named(spans: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """Spans by key as spans by doc_id, with the digest of the text where an id has several."""
+    if keys is None:
+        return spans
+    return keys.join(spans.withColumnRenamed("doc_id", "key"), "key").select("doc_id", "digest", "spans")
+
+
 def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36) -> DataFrame:
     """doc_id and spans: bytes covered by a string of `length` bytes that also starts earlier; only documents with some.
 
     Earlier means a smaller doc_id, or the same document and an earlier start. Texts are UTF-8 bytes, null counts as
     empty, and texts under `length` bytes have no strings. Rows with a null doc_id take no part. Rows that repeat an
-    id and text are one document. Spans of a document may overlap and have no order.
+    id and text are one document. Where an id has several texts, they are documents in order of their md5, and `digest`
+    (that md5) tells them apart. Spans of a document may overlap and have no order. Equal strings are those with equal
+    64-bit hashes of their grams and spans: two different ones are taken for equal with a chance of 2**-64 a pair that
+    meets, or of 2**-128 for spans removed whole.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    brief = scratch.keep(docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("n")))
-    first = brief.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
-    copies = scratch.keep(brief.join(first, "digest").where("doc_id > least").select("doc_id", "n"))
+    docs, brief, keys = keyed(scratch, docs, length)
+    first = scratch.keep(brief.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1"))
+    few = first.count() <= BROADCAST_ROWS  # a large group of copies then stays in the tasks that read it
+    copies = scratch.keep(brief.join(F.broadcast(first) if few else first, "digest").where("doc_id > least").select("doc_id", "n"))
     few = copies.count() <= BROADCAST_ROWS
     total = brief.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ids = copies.select("doc_id")
@@ -348,27 +370,36 @@ def repeated_spans(docs: DataFrame, length: int = 100, gram: int = 36) -> DataFr
     some = single.join(F.broadcast(needed), "doc_id", "left_semi") if few else single
     rows = scratch.keep(suffixes(some, told, length))
     found = scratch.keep(compare_suffixes(scratch, rows, length, gram))
-    scratch.drop(rows)
     span = lambda start, end: F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
     every = (
         told.where(F.size("spans") > 0).select("doc_id", "spans")
         .unionByName(found.select("doc_id", span(F.col("start"), F.col("end")).alias("spans")))
         .unionByName(copies.select("doc_id", span(F.lit(0), F.col("n")).alias("spans")))
     )
-    return every.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by the document's length
+    out = scratch.keep(named(every.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), keys))  # bounded by the document's length
+    scratch.drop(brief, first, told, rows, found, copies)
+    return out
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, whole_characters: bool = False) -> DataFrame:
     """All columns of docs with text replaced by kept (binary), and removed: the maximal removed runs.
 
+    Columns of docs named kept or removed give way to these. Spans are matched by doc_id, and by the text's digest where
+    they have one; each of repeated rows is cut, a row with a null doc_id is kept whole, a null text gives an empty kept.
     whole_characters: a run gives back the bytes of characters that it covers in part, so that kept stays UTF-8.
     """
     scratch = Scratch(docs.sparkSession, "spans")
-    spans = scratch.keep(spans)
+    if not hasattr(spans, "scratch_path"):
+        spans = scratch.keep(spans)
     few = spans.agg(F.coalesce(F.sum(F.size("spans") + 1), F.lit(0))).first()[0] <= BROADCAST_SPANS
-    right = spans.withColumnRenamed("doc_id", "_of").withColumnRenamed("spans", "_spans")
-    met = docs.join(F.broadcast(right) if few else right, F.col("doc_id") == F.col("_of"), "left").drop("_of")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    docs = docs.drop("kept", "removed")
+    of, print_, got_ = (fresh(docs.columns, c) for c in ("of", "print", "spans"))
+    fields = fields_of(docs, "text")
+    on = F.col("doc_id").cast("long") == F.col(of)
+    right = spans.select(F.col("doc_id").alias(of), F.col("spans").alias(got_), *([F.col("digest").alias(print_)] if "digest" in spans.columns else []))
+    if print_ in right.columns:
+        on &= F.unhex(F.md5("text")) == F.col(print_)
+    met = docs.join(F.broadcast(right) if few else right, on, "left").drop(of, print_)
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -376,7 +407,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame, whole_characters: bool = False)
             step = max(1, min(n, n * (8 << 20) // max(1, b["text"].nbytes)))
             for i in range(0, n, step):
                 kept, removed = [], []
-                for t, got in zip(b["text"].slice(i, step), b["_spans"].slice(i, step).to_pylist(), strict=True):
+                for t, got in zip(b["text"].slice(i, step), b[got_].slice(i, step).to_pylist(), strict=True):
                     raw = t.as_buffer().to_pybytes() if t.is_valid else b""
                     got = sorted((s["start"], s["end"]) for s in got or ())
                     runs = merge(np.array([s for s, _ in got], np.int64), np.array([e for _, e in got], np.int64))
@@ -392,12 +423,13 @@ def cut_spans(docs: DataFrame, spans: DataFrame, whole_characters: bool = False)
                         at = r["end"]
                     kept.append(b"".join([*parts, raw[at:]]))
                     removed.append(runs)
-                yield {**{c: v.slice(i, step) for c, v in b.items() if c not in ("text", "_spans")}, "kept": kept, "removed": removed}
+                yield {**{c: v.slice(i, step) for c, v in b.items() if c not in ("text", got_)}, "kept": kept, "removed": removed}
 
     return map_arrow(met, f"{fields}, kept binary, removed {SPANS}", each)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document: its bytes, those removed, in how many spans, and the digest of the rest. Nulls, empties and repeats as in repeated_spans."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     cut = cut_spans(docs, repeated_spans(docs))
     lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["start"]))
