@@ -15,9 +15,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemend.llm.common import Scratch, components, map_arrow, table, text_slices
+from tracemend.llm.common import Scratch, components, map_arrow, row_keys, table, text_slices
 
 BLOCK = 1000  #: members of a block; two blocks meet in one task
+BLOCK_SHINGLES = 2_000_000  #: and their shingles, about
 BROADCAST_ROWS = 500_000  #: up to so many ids are broadcast; more are joined by a shuffle
 
 
@@ -78,7 +79,7 @@ class Bands:
 
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys, the set itself."""
+    """doc_id, md5 of the text, n_shingles, digest of the set, band keys, the set itself."""
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
         hashes, keys = WordHashes(), Bands(bands, rows)
@@ -86,11 +87,11 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             for ids, texts in text_slices(b["doc_id"], b["text"], 2 << 20):
                 sets = [shingle_set(t, width, hashes) for t in texts]
                 yield {
-                    "doc_id": ids, "n_shingles": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                    "doc_id": ids, "text_md5": [hashlib.md5(t.encode()).digest() for t in texts], "n_shingles": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                     "bands": [keys(s) if len(s) else [] for s in sets], "shingles": [s.tobytes() for s in sets],
                 }
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, n_shingles long, digest binary, bands array<long>, shingles binary", each)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, text_md5 binary, n_shingles long, digest binary, bands array<long>, shingles binary", each)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,10 +149,25 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside buckets (key, rep, n): a spanning forest of each pair of blocks of a bucket."""
-    k = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    blocks = members.select("key", "rep", k.alias("k"), F.pmod(F.xxhash64("rep"), k).cast("int").alias("own"))
-    dealt = blocks.select("key", "rep", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))).alias("p")).select("key", "p.i", "p.j", "rep")
+    """Links inside buckets between members of different components (key, rep, component): a spanning forest of each pair of blocks.
+
+    A bucket's largest component is dealt to blocks of its own, which meet the other members' blocks but not each other,
+    so a hot bucket of one large family and some outsiders costs its size times the outsiders. Blocks are bounded by
+    members and by shingles; no pair is emitted that isn't a link.
+    """
+    sized = members.join(sets.select(F.col("doc_id").alias("rep"), "n_shingles"), "rep")
+    parts = sized.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    blocks = lambda n, weight: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(weight / BLOCK_SHINGLES)).cast("int")
+    largest = F.max(F.struct("n", "component", "weight"))
+    plan = parts.groupBy("key").agg(largest.alias("m"), (F.sum("n") - F.max(F.struct("n", "component", "weight"))["n"]).alias("n"), (F.sum("weight") - F.max(F.struct("n", "component", "weight"))["weight"]).alias("weight"))
+    plan = plan.select("key", F.col("m.component").alias("main"), blocks(F.col("m.n"), F.col("m.weight")).alias("ours"), blocks(F.col("n"), F.col("weight")).alias("others"))
+    few = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    at = members.join(F.broadcast(plan) if few else plan, "key")
+    inside = F.col("component") == F.col("main")
+    own = F.when(inside, F.pmod(F.xxhash64("rep"), "ours")).otherwise(F.col("ours") + F.pmod(F.xxhash64("rep"), "others")).cast("int")
+    at = at.select("key", "rep", inside.alias("inside"), "ours", "others", own.alias("own"))
+    partners = F.sequence(F.when(F.col("inside"), F.col("ours")).otherwise(F.lit(0)), F.col("ours") + F.col("others") - 1)
+    dealt = at.select("key", "rep", F.explode(F.transform(partners, lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))).alias("p")).select("key", "p.i", "p.j", "rep")
     full = dealt.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
 
     def compare(pdf):
@@ -165,20 +181,23 @@ def rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 33, rows: int = 5) -> DataFrame:
-    """One row for each row of `docs`: doc_id, n_shingles, component_id, kept.
+    """One row for each row of `docs`: doc_id, n_shingles, component_id, kept, text_md5 (binary; of a null text as of an empty one).
 
     Linked are documents with 100 * intersection >= percent * union of their shingle sets, `width` words each. Two
     such documents miss each other in all bands with a chance of (1 - (percent/100)**rows)**bands at most: 2e-6 for
     80 in 33 bands of 5, and for 85 in 28 of 6. Null, empty and white texts have no shingles and are linked with
     nothing. A row with a null doc_id takes no part: its component is null and it is kept. Repeated rows are one class
-    and get one result each.
+    and get one result each; rows of an id with several texts are classes of their own, and the smallest id names a group.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     sketch = scratch.keep(sketches(docs, width, bands, rows))
     some = sketch.where("n_shingles > 0 and doc_id is not null")
+    keys = row_keys(scratch, some.select("doc_id", "digest"))
+    if keys is not None:  # some id has several texts: a key for each stands for it, in the same order
+        some = scratch.keep(some.join(keys, ["doc_id", "digest"]).drop("doc_id").withColumnRenamed("key", "doc_id"))
     classes = scratch.keep(some.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    first = some.join(classes, (F.col("doc_id") == F.col("rep")) & (sketch["digest"] == classes["digest"])).select("rep", "bands").dropDuplicates(["rep"])
+    first = some.join(classes, (F.col("doc_id") == F.col("rep")) & (some["digest"] == classes["digest"])).select("rep", "bands").dropDuplicates(["rep"])
     banded = first.select("rep", F.explode("bands").alias("key"))
     # the pivot is the member least after a mix with the key, so that the buckets of a group have different pivots
     mixed = F.col("rep").bitwiseXOR(F.col("key"))
@@ -191,20 +210,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     stars = scratch.keep(confirmed(pairs, sets, percent))
     found = components(scratch, stars)
     # buckets of two are done; larger ones are, if the stars joined all their members
-    apart = multi.where("n > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    more = scratch.keep(rest(multi.select("key", "rep", "n").join(open_, "key", "left_semi"), sets, percent).distinct())
-    scratch.drop(multi, needed, sets)
+    apart = scratch.keep(multi.where("n > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")))
+    open_ = scratch.keep(apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
+    few = open_.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # a hot bucket then stays in the tasks that read it
+    more = scratch.keep(rest(apart.join(F.broadcast(open_) if few else open_, "key", "left_semi"), sets, percent).distinct())
+    scratch.drop(multi, needed, sets, apart, open_)
     found = components(scratch, stars.unionByName(more)).withColumnRenamed("id", "rep")
     named = classes.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    if keys is not None:
+        named = named.join(keys.select(F.col("key").alias("component_id"), "doc_id"), "component_id").select("digest", F.col("doc_id").alias("component_id"))
+    out = sketch.select("doc_id", "text_md5", "n_shingles", "digest").join(named, "digest", "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "text_md5")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=3, percent=85, bands=28, rows=6)
+    """One row for each document: the size of its set, its group, whether it is kept. Cases as in near_duplicates."""
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=3, percent=85, bands=28, rows=6).drop("text_md5")
 
 
 QUERIES = {"op9_minhash": op9_minhash}
