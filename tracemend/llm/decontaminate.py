@@ -32,7 +32,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def build_index(docs: DataFrame, terms: dict[bytes, int], gap: int) -> DataFrame:
-    """A row for each shard: its documents, where each begins, and the concatenated postings of each term there."""
+    """A row for each shard: its documents, their lengths and the md5 of their texts, and the concatenated postings of each term."""
     known = docs.sparkSession.sparkContext.broadcast(terms)
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
@@ -49,10 +49,10 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], gap: int) -> DataFrame
                 at = np.flatnonzero(flat >= 0).astype(np.int32)
                 at = at[np.argsort(flat[at], kind="stable")]
                 term, count = np.unique(flat[at], return_counts=True)
-                yield {"shard": [shard], "docs": [ids], "sizes": [sizes], "terms": [term], "counts": [count], "positions": [at.tobytes()]}
+                yield {"shard": [shard], "docs": [ids], "prints": [[hashlib.md5(t.encode()).digest() for t in texts]], "sizes": [sizes], "terms": [term], "counts": [count], "positions": [at.tobytes()]}
                 shard += 1
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "shard long, docs array<long>, sizes array<int>, terms array<int>, counts array<int>, positions binary", each)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "shard long, docs array<long>, prints array<binary>, sizes array<int>, terms array<int>, counts array<int>, positions binary", each)
 
 
 def near(first: np.ndarray, lists: list[np.ndarray], slop: int) -> np.ndarray:
@@ -65,8 +65,8 @@ def near(first: np.ndarray, lists: list[np.ndarray], slop: int) -> np.ndarray:
     return first
 
 
-def search(index: DataFrame, windows: list[tuple[list[int], list[str]]], counts: dict[int, int], gap: int, slop: int) -> DataFrame:
-    """For each document: n_words, merged runs of hit words, items with an exact window, items with a loose one only."""
+def search(index: DataFrame, windows: list[tuple[list[int], list[str]]], counts: dict[int, int], gap: int, slop: int, hits_only: bool) -> DataFrame:
+    """For each document, or each with a hit: n_words, merged runs of hit words, items with an exact window, items with a loose one only."""
     order = []
     for ids, items in windows:
         offsets = sorted(range(len(ids)), key=lambda i: (counts.get(ids[i], 0), i))
@@ -76,8 +76,8 @@ def search(index: DataFrame, windows: list[tuple[list[int], list[str]]], counts:
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            for shard, ids, sizes, terms, counted, blob in zip(b["shard"], b["docs"], b["sizes"], b["terms"], b["counts"], b["positions"], strict=True):
-                ids, sizes = ids.as_py(), np.array(sizes.as_py(), np.int64)
+            for shard, ids, prints, sizes, terms, counted, blob in zip(b["shard"], b["docs"], b["prints"], b["sizes"], b["terms"], b["counts"], b["positions"], strict=True):
+                ids, prints, sizes = ids.as_py(), prints.as_py(), np.array(sizes.as_py(), np.int64)
                 at, ends = np.frombuffer(blob.as_buffer(), np.int32).astype(np.int64), np.cumsum(np.array(counted.as_py(), np.int64))
                 begins = np.concatenate([[0], np.cumsum(sizes + gap)])
                 lists = {t: at[e - n : e] for t, e, n in zip(terms.as_py(), ends, counted.as_py(), strict=True)}
@@ -106,13 +106,13 @@ def search(index: DataFrame, windows: list[tuple[list[int], list[str]]], counts:
                 for x, y in zip(lo, hi, strict=True):
                     d = int(np.searchsorted(begins, x, side="right") - 1)
                     runs[d].append([int(x - begins[d]), int(y - begins[d])])
-                n = len(ids)
+                some = sorted(runs.keys() | exact.keys() | loose.keys()) if hits_only else range(len(ids))
                 yield {
-                    "shard": [shard.as_py()] * n, "nth": range(n), "doc_id": ids, "n_words": sizes, "runs": [runs.get(d, []) for d in range(n)],
-                    "items": [sorted(exact.get(d, ())) for d in range(n)], "near_items": [sorted(loose.get(d, set()) - exact.get(d, set())) for d in range(n)],
+                    "shard": [shard.as_py()] * len(some), "nth": some, "doc_id": [ids[d] for d in some], "text_md5": [prints[d] for d in some], "n_words": sizes[list(some)],
+                    "runs": [runs.get(d, []) for d in some], "items": [sorted(exact.get(d, ())) for d in some], "near_items": [sorted(loose.get(d, set()) - exact.get(d, set())) for d in some],
                 }
 
-    return map_arrow(index, "shard long, nth long, doc_id long, n_words long, runs array<array<int>>, items array<string>, near_items array<string>", each)
+    return map_arrow(index, "shard long, nth long, doc_id long, text_md5 binary, n_words long, runs array<array<int>>, items array<string>, near_items array<string>", each)
 
 
 def merged(pdf):
@@ -131,35 +131,58 @@ def merged(pdf):
     return first
 
 
+def item_terms(items: DataFrame) -> list[bytes]:
+    """The distinct words of the benchmark: as many as its vocabulary, which is what the driver and the tasks hold of it at once."""
+
+    def each(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            for _, texts in text_slices(b["item_id"], b["text"]):
+                yield {"word": sorted({w for t in texts for w in words(t)})}
+
+    return sorted(bytes(r[0]) for r in map_arrow(items, "word binary", each).distinct().collect())
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 2) -> DataFrame:
-    """One row for each row of `docs`: doc_id, n_words, runs of hit words [from, to), items, near_items.
+    """One row for each row of `docs`: doc_id, text_md5, n_words, runs of hit words [from, to), items, near_items.
 
     A window is `window` consecutive words of an item, or all of a shorter one; runs cover each occurrence of each.
     near_items have a window whose words all stand within `slop` of their places, but none exactly. Null and empty
     texts have no words; items with a null id or text are left out; repeated rows of either table count as they are.
+    The index is built once; a large benchmark is searched in rounds over it, and what several rounds found in a
+    document is united.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    rounds, out = int(-(-size // BLOCK_BYTES)) or 1, None
+    rounds = int(-(-size // BLOCK_BYTES)) or 1
+    if rounds > 1:
+        items = scratch.keep(items)
+    terms = {t: i for i, t in enumerate(item_terms(items))}
+    index = scratch.keep(build_index(docs, terms, window))
+    counts = dict(index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts")).collect())  # the benchmark's terms at most
+    hits = None
     for r in range(rounds):
         grams: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
         for item, text in items.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r).collect():
             w = words(text)
             for i in range(max(1, len(w) - window + 1) if w else 0):
                 grams[tuple(w[i : i + window])].add(item)
-        terms = {t: i for i, t in enumerate(sorted({t for g in grams for t in g}))}
-        index = scratch.keep(build_index(docs, terms, window))
-        counts = dict(index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts")).collect())  # the benchmark's terms at most
-        found = search(index, [([terms[t] for t in g], sorted(i)) for g, i in sorted(grams.items())], counts, window, slop)
-        out = found if out is None else out.unionByName(found)
-    if rounds > 1:
-        out = out.groupBy("shard", "nth").applyInPandas(merged, out.schema)
-    return out.drop("shard", "nth")
+        found = search(index, [([terms[t] for t in g], sorted(i)) for g, i in sorted(grams.items())], counts, window, slop, rounds > 1)
+        if rounds == 1:
+            return found.drop("shard", "nth")
+        found = scratch.keep(found)
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy("shard", "nth").applyInPandas(merged, hits.schema).select("shard", "nth", "runs", "items", "near_items")
+    every = index.select("shard", F.posexplode(F.arrays_zip("docs", "prints", "sizes")).alias("nth", "d"))
+    every = every.select("shard", F.col("nth").cast("long").alias("nth"), F.col("d.docs").alias("doc_id"), F.col("d.prints").alias("text_md5"), F.col("d.sizes").cast("long").alias("n_words"))
+    none = {c: F.expr(f"cast(array() as {t})") for c, t in hits.dtypes}
+    out = every.join(hits, ["shard", "nth"], "left")
+    return out.select("doc_id", "text_md5", "n_words", *(F.coalesce(c, none[c]).alias(c) for c in ("runs", "items", "near_items")))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its words, those hit, the items found. Nulls, empties and repeats as in find_contamination."""
     found = find_contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + (r[1] - r[0]))
     return found.select(
