@@ -15,7 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemend.llm.common import map_arrow, table, text_slices
+from tracemend.llm.common import Scratch, map_arrow, table, text_slices
+from tracemend.llm.quality import labelled
 
 SAMPLE_ROWS = 20_000  #: labelled rows that a fit uses at most
 FEATURES = 3000  #: features that are kept
@@ -114,12 +115,12 @@ def fit(rows: list, pairs: list[tuple], label: np.ndarray, k: int, fairness: flo
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, fairness: float = 3.0) -> ToxicityModel:
     """A model from labels (doc_id, label); at most `most` labelled rows, by a hash of the id, are used.
 
-    Without both labels each score is 0.5. Document frequencies are gathered by task and summed by bucket.
+    Without both labels each score is 0.5. Document frequencies are gathered by task and summed by bucket. The labelled
+    texts are stored once, so that the passes over them do not read the corpus again. Nulls and repeats as in labelled().
     """
     import xxhash
 
-    some = labels.where("doc_id is not null and label in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("label", "text")
+    met = Scratch(docs.sparkSession, "toxicity").keep(labelled(docs, labels, most).select("label", "text"))
 
     def bucket(p: str) -> int:
         return xxhash.xxh3_64_intdigest(p) % BUCKETS
@@ -165,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, fairness:
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id and score for each row of docs; a null text scores as an empty one."""
+    """doc_id and score for each row of docs; a null text scores as an empty one, repeated rows and null ids are scored row by row."""
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
         known: dict = {}
@@ -177,6 +178,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document; learns from labels that are not held out. Nulls, empties and repeats as in toxicity_scores."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held).select("doc_id", F.col("toxic").alias("label"))
