@@ -72,11 +72,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     A range partition and a sort put neighbours side by side; each partition's last document meets the first of the
     next one in a join of as many rows as there are partitions. Null texts count as empty, null ids come last, rows
-    that repeat an id stand side by side. A single document is its own next.
+    that repeat an id stand side by side, by a hash of their texts. A single document is its own next.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").desc_nulls_last()).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc(), F.col("text").desc()]  # the hash spreads rows that repeat an id
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
     names = [f.split()[0] for f in ROW.split(", ")]
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
@@ -119,6 +120,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     return kept.where("end is null").select(*names).unionByName(map_arrow(pairs, ROW, meet))
 
 
+def bits(fingerprint: str) -> F.Column:
+    """A fingerprint in hex as a signed 64-bit number."""
+    half = lambda at: F.conv(F.substring(fingerprint, at, 8), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
 def block_keys(fingerprint: F.Column, radius: int, blocks: int) -> F.Column:
     """An array of keys, one for each table: its number and the bits of the blocks that must be equal."""
     edge = [round(i * BITS / blocks) for i in range(blocks + 1)]
@@ -143,8 +150,26 @@ def within_radius(queries: DataFrame, all_: DataFrame, radius: int = 3, blocks:
     return q.join(a, (q["key"] == a["key"]) & (distance <= radius)).select("query", "fingerprint", distance.cast("int").alias("distance")).distinct()
 
 
+def neighbours(queries: DataFrame, all_: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
+    """(bits, n_near): for each distinct fingerprint `bits` of queries, how many rows of `all_` lie within `radius` bits of it.
+
+    Only distinct fingerprints meet in the block tables, so a group of equal ones, however large, is one row there.
+    """
+    sizes = all_.where("bits is not null").groupBy("bits").agg(F.count("*").alias("rows"))
+    near = within_radius(queries.select(F.col("bits").alias("fingerprint")), sizes.select(F.col("bits").alias("fingerprint")), radius, blocks)
+    return near.join(sizes.withColumnRenamed("bits", "fingerprint"), "fingerprint").groupBy(F.col("query").alias("bits")).agg(F.sum("rows").alias("n_near"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_next(table(spark, sf_dir, "documents", "doc_id", "text"))
+    """A row for each document; n_near, for ids divisible by 50 (null for others): how many other documents lie within 3 bits.
+
+    Null, empty and repeated rows as in with_next.
+    """
+    prints = with_next(table(spark, sf_dir, "documents", "doc_id", "text")).withColumn("bits", bits("fingerprint"))
+    asks = F.coalesce(F.col("doc_id") % 50 == 0, F.lit(False))
+    asked = prints.where(asks)
+    found = asked.join(neighbours(asked, prints), "bits", "left").select(*prints.columns, (F.col("n_near") - 1).alias("n_near"))
+    return found.unionByName(prints.where(~asks).withColumn("n_near", F.lit(None).cast("long"))).drop("bits")
 
 
 QUERIES = {"op8_simhash": op8_simhash}
