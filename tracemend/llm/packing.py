@@ -4,7 +4,8 @@ Lengths fall into reciprocal-capacity classes: class k holds pieces of capacity/
 them fill a sequence. A piece that would leave much of its slot empty is cut so that its head fills a slot of the
 next class exactly; the rest shrinks so fast that a few cuts do. Pieces get their place within a class from counts
 for each task, so tasks fill the bins of a class independently. What is left over of each class, fewer pieces than
-one bin holds and so a number bounded by the capacity alone, is packed together at the end.
+one bin holds and so a number bounded by the capacity alone (some 20,000 pieces for 4096 tokens, however large the
+input), is packed at the end, in groups of about LEFT_ROWS pieces that each leave one open sequence.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from tracemend.llm.common import Scratch, map_arrow, table, text_slices
 
 CUT_BELOW = 0.97  #: pieces that fill less of their slot than this are cut
+LEFT_ROWS = 1000  #: left-over pieces that are packed in one task
 LEAST_CUT = 48  #: pieces of at most so many tokens are not cut further
 
 
@@ -102,7 +104,8 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): each token of each row lies in one piece.
 
     `encoder()` is called once a task and gives a function from a text to its ids as little-endian 32-bit bytes.
-    A null or empty text is the end id alone. Repeated rows and null ids are packed as rows of their own.
+    A null or empty text is the end id alone. Repeated rows and null ids are packed as rows of their own, each with all
+    of its pieces; ties in length go by id and start. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
@@ -136,7 +139,8 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id:
     keep = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def fill(pdf):
-        """First fit, longest first, over the leftovers: fewer than a bin of each class."""
+        """First fit, longest first, over a group of the leftovers."""
+        base = int(pdf["group"].iloc[0]) << 32
         pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
         used: list[int] = []
         seq, off, first = [], [], 0
@@ -150,13 +154,16 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id:
             seq.append(at)
             off.append(used[at])
             used[at] += n
-        return pdf[keep].assign(sequence_id=seq, offset=off)
+        return pdf[keep].assign(sequence_id=[base + s for s in seq], offset=off)
 
-    left = placed.where(~full).select(*keep).groupBy(F.lit(0).alias("all")).applyInPandas(fill, ", ".join(f"{c} long" for c in [*keep, "sequence_id", "offset"]))
+    over = per_task.groupBy("class").agg((F.sum("n") % F.col("class")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = max(1, over // LEFT_ROWS)
+    left = placed.where(~full).select(*keep, F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).alias("group")).groupBy("group").applyInPandas(fill, ", ".join(f"{c} long" for c in [*keep, "sequence_id", "offset"]))
     return even.unionByName(left)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of each document in sequences of 4096 tokens. Nulls, empties and repeats as in pack."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents", "doc_id", "text"), library_encoder(public_tokenizers.path("word_bpe_49k.json")))

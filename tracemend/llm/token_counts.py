@@ -95,6 +95,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of each document, and whether they are over 4096. Nulls, empties and repeats as in token_counts."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
