@@ -225,7 +225,7 @@ def test_whole_characters(spark):
 
 
 def test_chunks(docs, none):
-    got = rows(suffix_dedup.cut_spans(docs, chunk_dedup.repeated_chunks(docs)))
+    got = rows(suffix_dedup.cut_spans(docs, chunk_dedup.repeated_chunks(docs, 32, 256, 5, 0)))
     seen, want = set(), {}
     texts = {i: (t or "").encode() for i, t, *_ in corpus() if i is not None}
     for i in sorted(texts):
@@ -258,7 +258,7 @@ def test_chunks_before_a_short_tail(spark):
     flat = next(c * 256 for c in letters if not len(cuts(c * 256)))
     t = next(x for a in letters for b in letters if len(k := cuts(x := flat + a + b + a + b)) and k[0] > 256)
     df = spark.createDataFrame([(1, t, "en", 0), (2, t, "en", 0)], DOCS)
-    got = {r["doc_id"]: r for r in rows(suffix_dedup.cut_spans(df, chunk_dedup.repeated_chunks(df)))}
+    got = {r["doc_id"]: r for r in rows(suffix_dedup.cut_spans(df, chunk_dedup.repeated_chunks(df, 32, 256, 5, 0)))}
     assert [sum(s["end"] - s["start"] for s in got[i]["removed"]) for i in (1, 2)] == [0, len(t)]
     assert [bytes(got[i]["kept"]).decode() for i in (1, 2)] == [t, ""]
 
