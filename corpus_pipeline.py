@@ -15,37 +15,67 @@ from tracemend.llm.common import Scratch, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def text_md5() -> F.Column:
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for the rows named in gone (doc_id, text_md5), by id and text: rows of one id with other texts stay."""
+    few = gone.count() <= minhash.BROADCAST_ROWS
+    gone = gone.withColumnRenamed("doc_id", "gone_id")
+    return docs.join(F.broadcast(gone) if few else gone, (F.col("doc_id") == F.col("gone_id")) & (text_md5() == F.col("text_md5")), "left_anti")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is at the ranker's cut or above; it learns from all labels."""
+    """Documents whose score is at the ranker's cut or above; it learns from all labels.
+
+    Null and empty texts are scored like others, repeated rows stay or go alike; an empty table gives an empty one.
+    """
     labels = table(spark, sf_dir, "labels", "doc_id", "quality").select("doc_id", F.col("quality").alias("label"))
     model = quality.train(docs, labels)
     return quality.quality_scores(docs, model, *COLUMNS[1:]).where(F.col("score") >= quality.KEEP_AT).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; five words, a likeness of 0.8."""
-    dropped = Scratch(spark, "dropped").keep(minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
-    few = dropped.count() <= minhash.BROADCAST_ROWS
-    return docs.select(*COLUMNS).join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near duplicates, the one with the smallest id; five words, a likeness of 0.8.
+
+    Of rows that repeat an id in one group, the one with the least md5 stays, once. Texts without words and rows with a
+    null id are in no group and stay.
+    """
+    scratch = Scratch(spark, "kept")
+    found = scratch.keep(minhash.near_duplicates(docs))
+    again = found.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text_md5").alias("least")).where("n > 1")
+    again = scratch.keep(again.select("doc_id", "least"))
+    others = found.where("kept and n_shingles > 0").join(again, "doc_id").where("text_md5 <> least")
+    gone = scratch.keep(found.where(~F.col("kept")).select("doc_id", "text_md5").unionByName(others.select("doc_id", "text_md5")).distinct())
+    out = without(docs.select(*COLUMNS), gone)
+    if again.limit(1).count():
+        twice = again.select(F.col("doc_id").alias("twice_id"), F.col("least").alias("text_md5"))
+        same = (F.col("doc_id") == F.col("twice_id")) & (text_md5() == F.col("text_md5"))
+        out = out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(*COLUMNS)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 100 bytes that stand earlier, cut at whole characters; a document left empty goes."""
+    """Texts without strings of 100 bytes that stand earlier, cut at whole characters; a document left empty goes.
+
+    Empty and short texts stay as they are, a null text becomes an empty one; a row with a null id is not cut.
+    """
     cut = suffix_dedup.cut_spans(docs.select(*COLUMNS), suffix_dedup.repeated_spans(docs), whole_characters=True)
-    out = cut.withColumn("text", F.col("kept").cast("string")).withColumn("n_chars", F.length("text").cast("long"))
-    return out.where((F.size("removed") == 0) | (F.length(F.trim("text")) > 0)).select(*COLUMNS)
+    whole = F.size("removed") == 0
+    out = cut.withColumn("text", F.col("kept").cast("string")).withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast("long"))
+    return out.where(whole | (F.length(F.trim("text")) > 0)).select(*COLUMNS)
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; texts without words stay."""
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    leaks = Scratch(spark, "leaks").keep(found.where(F.size("items") > 0).select("doc_id").distinct())
-    few = leaks.count() <= minhash.BROADCAST_ROWS
-    return docs.select(*COLUMNS).join(F.broadcast(leaks) if few else leaks, "doc_id", "left_anti").select(*COLUMNS)
+    leaks = Scratch(spark, "leaks").keep(found.where(F.size("items") > 0).select("doc_id", "text_md5").distinct())
+    return without(docs.select(*COLUMNS), leaks).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens."""
+    """The pieces of all documents in sequences of 4096 tokens; a null or empty text is its end token alone."""
     import public_tokenizers
 
     return packing.pack(docs, packing.library_encoder(public_tokenizers.path("word_bpe_49k.json")))
