@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemend.operators.running import BLOCK_ROWS, running_sums
+
 
 def by_case():
     return Window.partitionBy("case_id").orderBy("seq")
@@ -43,8 +45,13 @@ def parallel_features(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return marked.groupBy(F.col("src").alias("activity")).agg((siblings > 0).cast("int").alias("is_parallel"), siblings.alias("siblings"), F.round(share, 6).alias("sibling_share"))
 
 
-def running_outgoing(log: DataFrame) -> DataFrame:
+def running_outgoing(log: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """For each event with a predecessor: how often that label has been left before, and left for this label, in all cases."""
-    pairs = follows(log).where("prev is not null and activity is not null")
-    before = lambda *keys: F.count("*").over(Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return pairs.select("seq", "prev", "activity", before("prev").alias("out_before"), before("prev", "activity").alias("edge_before"))
+    pairs = follows(log).where("prev is not null and activity is not null").select("seq", "prev", "activity")
+    out = running_sums(pairs, ["prev"], "seq", {"out_before": F.lit(1)}, block_rows)
+    return running_sums(out, ["prev", "activity"], "seq", {"edge_before": F.lit(1)}, block_rows)
+
+
+def counts(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: n_edges, n_parallel_pairs."""
+    return edges.agg(F.count("*").alias("n_edges")).crossJoin(pairs.agg(F.count("*").alias("n_parallel_pairs")))  # one row each

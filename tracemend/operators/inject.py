@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemend.operators.running import sure_cut
 
 
 def draw(*keys: Column | int) -> Column:
@@ -16,8 +17,7 @@ def draw(*keys: Column | int) -> Column:
 def mask_share(log: DataFrame, rate: float, seed: int) -> DataFrame:
     """`int(n * rate)` labelled events, those with the smallest draws; seq and truth."""
     known = log.where("truth is not null").select("seq", "truth", draw(F.col("seq"), seed).alias("u"))
-    n = known.count()
-    return known.orderBy("u", "seq").limit(int(n * rate)).select("seq", "truth")
+    return sure_cut(known, "u", "seq", int(known.count() * rate)).select("seq", "truth")
 
 
 def mask_bursts(log: DataFrame, every: int, size: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemend.operators.running import BLOCK_ROWS, running_sums
 from tracemend.schema import BY_SEQUENCE, NORMAL, UNRECOVERED
 
 
@@ -25,11 +26,9 @@ def top_next(log: DataFrame, order: int = 3) -> DataFrame:
     return pairs.groupBy("prefix").agg(best.alias("b"), F.sum("n").alias("support")).select("prefix", F.col("b.activity").alias("next"), F.round(F.col("b.n") / F.col("support"), 6).alias("dominance"), "support")
 
 
-def causal_counts(log: DataFrame, labels: list[str], order: int) -> DataFrame:
-    """For each event and label: how often the label followed the event's prefix before."""
-    frame = Window.partitionBy("prefix").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    counts = [F.coalesce(F.sum(F.when(F.col("activity") == a, 1).otherwise(0)).over(frame), F.lit(0)).alias(f"n_{i}") for i, a in enumerate(labels)]
-    return with_prefix(log, order).select("*", *counts)
+def causal_counts(log: DataFrame, labels: list[str], order: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """For each event and label: how often the label followed the event's prefix before. A prefix with many events is summed in blocks."""
+    return running_sums(with_prefix(log, order), ["prefix"], "seq", {f"n_{i}": (F.col("activity") == a).cast("int") for i, a in enumerate(labels)}, block_rows)
 
 
 def repair(log: DataFrame, labels: list[str], order: int = 3, dominance: float = 0.95, support: int = 50) -> DataFrame:
