@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tracemend.llm.common import Scratch, components, map_arrow, row_keys, table, text_slices
 
 BLOCK = 1000  #: members of a block; two blocks meet in one task
-BLOCK_SHINGLES = 2_000_000  #: and their shingles, about
+BLOCK_SHINGLES = 500_000  #: and their shingles, about
 BROADCAST_ROWS = 500_000  #: up to so many ids are broadcast; more are joined by a shuffle
 
 

@@ -9,11 +9,12 @@ only suffixes that begin at anchors, one in about thirty, need sorting:
    whole. A slice sends two records of a gram at most, so a gram that most documents share stays small.
 2. The anchors left share their gram but not their span. Their suffixes are range-partitioned by leading bytes with
    sampled splitters, sorted in each bucket by multikey quicksort, and compared through the lengths of common prefixes.
-3. Strings whose prefix class touches the edge of a bucket are compared across boundaries by an aggregation.
+3. Strings whose prefix class touches the edge of a bucket are compared across boundaries by their digests.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,11 +28,13 @@ from tracemend.llm.common import Scratch, fields_of, fresh, map_arrow, row_keys,
 SLICE_BYTES = 8 << 20  #: text whose anchors a task compares before it sends them
 BUCKET_BYTES = 3 << 20  #: text for each hash bucket
 SUFFIXES = 15_000  #: suffixes that a range bucket aims at
+CELL_SUFFIXES = 20_000  #: suffixes for each cell of strings that meet across buckets
 BROADCAST_ROWS = 500_000  #: up to so many ids are broadcast; more are joined by a shuffle
 BROADCAST_SPANS = 1_000_000
 
 ASK = np.dtype([("gram", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("a", "<u4"), ("back", "u1"), ("more", "u1")])
 TOLD = np.dtype([("doc", "<i8"), ("a", "<u4"), ("back", "u1"), ("more", "u1"), ("whole", "u1")])
+EDGE = np.dtype([("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("start", "<u4")])
 SPANS = "array<struct<start:int,end:int>>"
 
 _draw = np.random.default_rng(11)
@@ -296,10 +299,23 @@ def sort_bucket(doc: np.ndarray, a: np.ndarray, back: np.ndarray, more: np.ndarr
     return np.stack([doc[of[removed]], start[removed]], axis=1), open_
 
 
+def as_runs(doc: np.ndarray, start: np.ndarray, length: int) -> dict:
+    """Removed starts, sorted by document and start, as spans (doc_id, start, end)."""
+    cut = np.ones(len(doc), bool)
+    cut[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(cut)
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
+    return {"doc_id": doc[first], "start": start[first], "end": start[last] + length}
+
+
 def compare_suffixes(scratch: Scratch, rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Spans (doc_id, start, end) that earlier strings cover, from anchors that share their gram."""
+    """Spans (doc_id, start, end) that earlier strings cover, from anchors that share their gram.
+
+    A bucket sends each distinct string that may also lie beyond its edges once, as a 128-bit digest, in cells by that digest.
+    """
     n = rows.count()
     ranged = rows.repartitionByRange(max(1, -(-n // SUFFIXES)), "suffix", "doc_id", "a")
+    cells = max(8, -(-n // CELL_SUFFIXES))
 
     def each(batches: Iterator[dict]) -> Iterator[dict]:
         held = list(batches)
@@ -309,20 +325,34 @@ def compare_suffixes(scratch: Scratch, rows: DataFrame, length: int, gram: int)
         parts = lambda c: [x for b in held for x in b[c].to_pylist()]
         removed, open_ = sort_bucket(cat("doc_id"), cat("a"), cat("back"), cat("more"), parts("suffix"), parts("before"), length, gram)
         if len(removed):
-            d, s = removed[:, 0], removed[:, 1]
-            cut = np.ones(len(d), bool)
-            cut[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)
-            first = np.flatnonzero(cut)
-            last = np.append(first[1:], len(d)) - 1
-            yield {"doc_id": d[first], "start": s[first], "end": s[last] + length, "string": [None] * len(first)}
+            spans = as_runs(removed[:, 0], removed[:, 1], length)
+            yield {**spans, "cell": [None] * len(spans["start"]), "edge": [None] * len(spans["start"])}
         if open_:
-            yield {"doc_id": [x[0] for x in open_], "start": [x[1] for x in open_], "end": [x[1] + length for x in open_], "string": [x[2] for x in open_]}
-
-    found = scratch.keep(map_arrow(ranged, "doc_id long, start int, end int, string binary", each))
-    edge = found.where("string is not null")
-    least = edge.groupBy("string").agg(F.min(F.struct("doc_id", "start")).alias("least"))
-    later = edge.join(least, "string").where(F.struct("doc_id", "start") > F.col("least")).select("doc_id", "start", "end")
-    return found.where("string is null").select("doc_id", "start", "end").unionByName(later)
+            x = np.empty(len(open_), EDGE)
+            key = np.frombuffer(b"".join(hashlib.blake2b(o[2], digest_size=16).digest() for o in open_), "<u8").reshape(-1, 2)
+            x["one"], x["two"] = key[:, 0], key[:, 1]
+            x["doc"], x["start"] = [o[0] for o in open_], [o[1] for o in open_]
+            cell = (x["one"] % np.uint64(cells)).astype(np.int64)
+            order = np.argsort(cell, kind="stable")
+            names, begin = np.unique(cell[order], return_index=True)
+            none = [None] * len(names)
+            yield {"doc_id": none, "start": none, "end": none, "cell": names, "edge": [x[order[i:j]].tobytes() for i, j in zip(begin, np.append(begin[1:], len(order)), strict=True)]}
+
+    def later(rows: pa.Table) -> pa.Table:
+        """Of a cell's strings all but the earliest of each."""
+        x = np.concatenate([np.frombuffer(r.as_buffer(), EDGE) for r in rows["edge"]])
+        x = x[np.lexsort((x["start"], x["doc"], x["two"], x["one"]))]
+        new = np.ones(len(x), bool)
+        new[1:] = (x["one"][1:] != x["one"][:-1]) | (x["two"][1:] != x["two"][:-1])
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+        again = (x["doc"] != x["doc"][lead]) | (x["start"] != x["start"][lead])  # a repeated row is no repeat
+        x = np.unique(x[again][["doc", "start"]])
+        out = as_runs(x["doc"].astype(np.int64), x["start"].astype(np.int64), length)
+        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "start": pa.array(out["start"], pa.int32()), "end": pa.array(out["end"], pa.int32())})
+
+    found = scratch.keep(map_arrow(ranged, "doc_id long, start int, end int, cell long, edge binary", each))
+    met = found.where("edge is not null").select("cell", "edge").groupBy("cell").applyInArrow(later, "doc_id long, start int, end int")
+    return found.where("edge is null").select("doc_id", "start", "end").unionByName(met)
 
 
 def keyed(scratch: Scratch, docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
