@@ -16,6 +16,11 @@ def is_null_text(c: Column) -> Column:
     return c.isNull() | F.lower(F.trim(c)).isin(NULL_TEXTS)
 
 
+def is_null_number(c: Column) -> Column:
+    """Text nulls, and -1, which stands for a missing code."""
+    return is_null_text(c) | F.coalesce(number(c) == -1, F.lit(False))
+
+
 def number(c: Column) -> Column:
     """A double, or null where the text is none."""
     return c.try_cast("double")

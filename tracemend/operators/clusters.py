@@ -35,6 +35,15 @@ def merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("label", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
 
 
+def save(stats: DataFrame, path: str) -> None:
+    """Sums of clusters as a table, so that a run can go on from them."""
+    stats.write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def decay(stats: DataFrame, labels: list, factor: float = 0.5) -> DataFrame:
     """Statistics of some labels scaled down, so that new events count more."""
     scale = F.when(F.col("label").isin(labels), factor).otherwise(1.0)

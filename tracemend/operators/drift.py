@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -189,3 +189,18 @@ def retrain(high: Column, medium: Column, kinds: Column, reconstruction: Column,
 def reaction(post: Column, pre: Column, delta: float = 2.0) -> Column:
     """For a label that drifted: decay its cluster where errors grew by more than delta, else fine-tune only."""
     return F.when(post / F.greatest(pre, F.lit(1e-12)) > delta, "decay_and_tune").otherwise("tune")
+
+
+def tiers(rows: DataFrame, keep: int = 100, enough: int = 20, delta: float = 2.0) -> DataFrame:
+    """Alarms of labels with what follows: (seq, activity, before, after, reaction).
+
+    rows: seq, activity, error, alarm. Of the label's last `keep` errors up to the alarm, before and after are the means of
+    the older and the newer half; with fewer than `enough` nothing is done, else the model is tuned, and the label's cluster
+    is decayed first where errors grew by more than `delta`.
+    """
+    w = Window.partitionBy("activity").orderBy("seq").rowsBetween(-(keep - 1), 0)
+    t = rows.withColumn("_e", F.collect_list("error").over(w)).where("alarm").withColumn("_mid", F.floor(F.size("_e") / 2).cast("int"))
+    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda x, v: x + v), F.size(a))
+    t = t.withColumns({"before": mean(F.slice("_e", F.lit(1), F.col("_mid"))), "after": mean(F.slice("_e", F.col("_mid") + 1, F.size("_e") - F.col("_mid")))})
+    act = F.when(F.size("_e") < enough, "none").when((F.col("before") > 0) & (F.try_divide("after", "before") > delta), "decay_and_tune").otherwise("tune")
+    return t.select("seq", "activity", "before", "after", act.alias("reaction"))

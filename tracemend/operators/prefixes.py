@@ -71,14 +71,19 @@ def decayed_counts(log: DataFrame, order: int, every: int, factor: float, least:
 
 
 def decayed_by_additions(log: DataFrame, order: int, every: int, factor: float, least: float) -> DataFrame:
-    """Counts that lose `factor` after each `every` additions in order of seq; what a decay leaves under `least` is gone and starts from 0."""
-    keys, parts = ("seq", "prefix", "activity"), int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t = with_prefix(log, order).where("activity is not null").select(*keys).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    """Counts of the labels after a prefix that lose `factor` after each `every` additions; what a decay leaves under `least` is gone and starts from 0."""
+    return decayed(with_prefix(log, order).where("activity is not null"), every, factor, least).drop("touched")
+
+
+def decayed(additions: DataFrame, every: int, factor: float, least: float) -> DataFrame:
+    """(prefix, activity, weight, touched) of additions (seq, prefix, activity) in order of seq, decayed after each `every`; touched: the last seq."""
+    keys, parts = ("seq", "prefix", "activity"), int(additions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = additions.select(*keys).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     t = t.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33)).withColumn("_row", F.col("_row").bitwiseAND((1 << 33) - 1))
     sizes = t.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
     epoch = F.floor((F.col("_row") + F.col("_before")) / every).alias("epoch")
-    added = t.join(F.broadcast(before), "_part").groupBy("prefix", "activity", epoch).agg(F.count("*").alias("n"))
+    added = t.join(F.broadcast(before), "_part").groupBy("prefix", "activity", epoch).agg(F.count("*").alias("n"), F.max("seq").alias("touched"))
     decays = sizes.agg(F.floor(F.sum("_n") / every).alias("decays"))
 
     def kept(weight, times):
@@ -87,11 +92,23 @@ def decayed_by_additions(log: DataFrame, order: int, every: int, factor: float,
 
     start = F.struct(F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("epoch"))
     fold = lambda a, x: F.struct((kept(a["weight"], x["epoch"] - a["epoch"]) + x["n"]).alias("weight"), x["epoch"].alias("epoch"))
-    pairs = added.groupBy("prefix", "activity").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("epoch", "n"))), start, fold).alias("a"))  # a row for each epoch
-    end = pairs.crossJoin(F.broadcast(decays)).select("prefix", "activity", kept(F.col("a.weight"), F.col("decays") - F.col("a.epoch")).alias("weight"))  # one row
+    pairs = added.groupBy("prefix", "activity").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("epoch", "n"))), start, fold).alias("a"), F.max("touched").alias("touched"))  # a row for each epoch
+    end = pairs.crossJoin(F.broadcast(decays)).select("prefix", "activity", kept(F.col("a.weight"), F.col("decays") - F.col("a.epoch")).alias("weight"), "touched")  # one row
     return end.where(F.col("weight") > 0).withColumn("weight", F.round("weight", 6))
 
 
+def keep_recent(counts: DataFrame, most: int, by: list[str]) -> DataFrame:
+    """counts (with touched) of the `most` keys that were touched last, ties by key."""
+    last = counts.groupBy(*by).agg(F.max("touched").alias("_t")).orderBy(F.desc("_t"), *by).limit(most)
+    return counts.join(F.broadcast(last.drop("_t")), by, "left_semi")  # `most` rows
+
+
+def prefix_entries(repaired: DataFrame, width: int) -> DataFrame:
+    """repaired with `entries`: label (given or recovered), provenance and confidence of the `width` events before in the case, oldest first."""
+    entry = F.struct(F.col("recovered").alias("label"), "provenance", "confidence")
+    return repaired.withColumn("entries", F.collect_list(entry).over(by_case().rowsBetween(-width, -1)))
+
+
 def contamination(repaired: DataFrame, width: int) -> DataFrame:
     """Share of the `width` events before each repaired event whose label was not given, and how many there were."""
     frame = by_case().rowsBetween(-width, -1)

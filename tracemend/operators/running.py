@@ -45,3 +45,17 @@ def sure_cut(rows: DataFrame, by: str, ties: str, n: int, cells: int = 1 << 16)
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(by, ties))  # one cell's rows
     edge = rows.where(cell == at["cell"]).withColumn("_rank", rank).where(F.col("_rank") <= n - at["before"]).drop("_rank")
     return rows.where(cell < at["cell"]).unionByName(edge)
+
+
+def smallest_of_each(rows: DataFrame, key: str, by: str, ties: str, quota: DataFrame, cells: int = 1 << 16) -> DataFrame:
+    """Of each key the `quota` rows (key, quota: a row for each key) with the smallest `by`, a number in [0, 1), ties by `ties`.
+
+    Counts of cells say up to which cell rows can be wanted; only rows up to there are ranked, about `quota` of each key.
+    """
+    cell = F.floor(F.col(by) * cells)
+    counts = rows.groupBy(key, cell.alias("_cell")).agg(F.count("*").alias("_k"))
+    upto = counts.withColumn("_upto", F.sum("_k").over(Window.partitionBy(key).orderBy("_cell"))).join(quota, key)
+    last = quota.join(upto.where(F.col("_upto") >= F.col("quota")).groupBy(key).agg(F.min("_cell").alias("_last")), key, "left")
+    some = rows.join(F.broadcast(last), key).where(cell <= F.coalesce("_last", F.lit(cells)))  # a row for each key
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(by, ties))
+    return some.withColumn("_rank", rank).where(F.col("_rank") <= F.col("quota")).drop("_rank", "_last", "quota")

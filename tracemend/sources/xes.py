@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracemend.functions import columns as C
 from tracemend.schema import EVENT_LOG, label
+from tracemend.sources.files import find_logs, is_yaml, rename_parts, resolve
 
 _KEYED = "array<struct<_key:string,_value:string>>"
 _KINDS = ["string", "date", "int", "float", "boolean", "id"]
@@ -46,7 +47,7 @@ def points(lists: Column) -> Column:
     return F.map_from_entries(F.aggregate(readings, F.array().cast("array<struct<key:string,value:string>>"), lambda a, p: F.concat(F.filter(a, lambda q: q["key"] != p["key"]), F.array(p))))
 
 
-def read_xml(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+def read_xml(spark: SparkSession, path: str | list[str], streaming: bool = False) -> DataFrame:
     """Events of XES files under a path in the event-log model; seq is null until ordered() gives one.
 
     The trace's own concept:name is the case; the `subprocess` field is the same. Timestamps lose their zone.
@@ -63,19 +64,58 @@ def read_xml(spark: SparkSession, path: str, streaming: bool = False) -> DataFra
     )
 
 
-def ordered(log: DataFrame) -> DataFrame:
-    """seq from 0 by time, nulls first, then file and position; parts are numbered apart and shifted by their sizes."""
+def ordered(log: DataFrame, path: str | None = None) -> DataFrame:
+    """seq from 0 by time, nulls first, then file and position; parts are numbered apart and shifted by their sizes.
+
+    The numbered parts are stored once (below `path` or the shared folder), as both the sizes and the rows are read from them.
+    """
+    import uuid
+
     from pyspark.sql import Window
 
+    spark = log.sparkSession
+    at = path or f"{(spark.conf.get('spark.checkpoint.dir', '') or log_folder(spark)).rstrip('/')}/ordered-{uuid.uuid4().hex[:12]}"
     keys = [F.col("ts").asc_nulls_first(), F.col("file_path"), F.col("case_id"), F.col("pos")]
     ranged = log.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_row", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_part", F.shiftright("_row", 33)).withColumn("_row", F.col("_row").bitwiseAND((1 << 33) - 1))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    ranged.withColumn("_part", F.shiftright("_row", 33)).withColumn("_row", F.col("_row").bitwiseAND((1 << 33) - 1)).write.mode("overwrite").parquet(at)
+    kept = spark.read.parquet(at)
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
-    return ranged.join(F.broadcast(before), "_part").withColumn("seq", F.col("_row") + F.col("_before")).drop("_row", "_part", "_before", "pos")
+    return kept.join(F.broadcast(before), "_part").withColumn("seq", F.col("_row") + F.col("_before")).drop("_row", "_part", "_before", "pos")
+
+
+def log_folder(spark: SparkSession) -> str:
+    from tracemend.plans.models import _folder
+
+    return _folder(spark, "log")
+
+
+def read_logs(spark: SparkSession, path: str, where: Column | None = None, most_files: int | None = None, most_events: int | None = None) -> DataFrame:
+    """Events of all XML and YAML logs under a path, found by their names; those that fulfil `where`; at most `most_events` of each trace, in order, and of `most_files` files."""
+    from pyspark.sql import Window
 
+    found = find_logs(spark, path, most_files)
+    xml, yml = [f for f in found if not is_yaml(f)], [f for f in found if is_yaml(f)]
+    parts = ([read_xml(spark, xml)] if xml else []) + ([read_yaml(spark, yml)] if yml else [])
+    if not parts:
+        return empty(spark).withColumn("pos", F.lit(0).cast("long"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    if where is not None:
+        out = out.where(where)
+    if most_events is not None:
+        nth = F.row_number().over(Window.partitionBy("file_path", "case_id").orderBy("pos"))
+        out = out.withColumn("_nth", nth).where(F.col("_nth") <= most_events).drop("_nth")
+    return out
 
-def write_xml(log: DataFrame, path: str) -> None:
+
+def read_single(spark: SparkSession, path: str) -> DataFrame:
+    """Events of the one XES file that a path stands for, compressed or not."""
+    return read_xml(spark, resolve(spark, path))
+
+
+def write_xml(log: DataFrame, path: str, compression: str | None = None) -> None:
     """A log of traces with their events, time and sensors; a case's events are gathered, as a trace is one element."""
     pair = lambda k, v: F.struct(F.lit(k).alias("_key"), v.alias("_value"))
     strings = F.filter(F.array(pair("concept:name", F.col("activity")), pair("lifecycle:transition", F.col("lifecycle")), pair("org:resource", F.col("resource"))), lambda p: p["_value"].isNotNull())
@@ -87,7 +127,8 @@ def write_xml(log: DataFrame, path: str) -> None:
     lists = F.when(F.size("sensors_raw") > 0, F.array(F.struct(F.lit("stream:datastream").alias("_key"), stream.alias("list"))))
     events = log.select("case_id", "seq", F.struct(F.concat(strings, extra).alias("string"), stamp.alias("date"), lists.alias("list")).alias("e"))
     traces = events.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "e"))), lambda x: x["e"]).alias("event"))
-    traces.select(F.array(pair("concept:name", F.col("case_id"))).alias("string"), "event").write.mode("overwrite").format("xml").option("rowTag", "trace").option("rootTag", "log").save(path)
+    traces.select(F.array(pair("concept:name", F.col("case_id"))).alias("string"), "event").write.mode("overwrite").format("xml").option("rowTag", "trace").option("rootTag", "log").option("compression", compression or "none").save(path)
+    rename_parts(log.sparkSession, path, ".xes.gz" if compression == "gzip" else ".xes")
 
 
 def main_index(log: DataFrame) -> DataFrame:
@@ -100,28 +141,34 @@ def without_markers(log: DataFrame) -> DataFrame:
     return log.where(~F.coalesce(F.col("activity").rlike("^LogWindow_(train|test)$"), F.lit(False)))
 
 
-def read_yaml(spark: SparkSession, path: str) -> DataFrame:
+def read_yaml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Events of YAML logs: documents apart by lines of ---; a `log` document names the trace, `event` documents follow.
 
-    A file is read as rows of documents, so a task holds one document; needs PyYAML on the executors.
+    A document is a row, so a long file is read by as many tasks as it has blocks. Each document is parsed by itself; the
+    trace of an event is the last one named before it in its block, or else at the end of the blocks before. Needs PyYAML
+    on the executors. A document without either, or of another kind, gives no event.
     """
-    docs = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.y*ml*").option("lineSep", "\n---").text(path)
-    # files aren't split, for a document needs the trace named before it; gz files never are
-    whole = docs.select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).repartition("file_path").sortWithinPartitions("file_path", "block", "at")
+    from pyspark.sql import Window
+
+    reader = spark.read.option("lineSep", "\n---")
+    if isinstance(path, str):
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.y*ml*")
+    docs = reader.text(path).select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
 
     def each(batches: Iterator) -> Iterator:
         import pandas as pd
         import yaml
 
-        file, case = None, None
         for pdf in batches:
             out = []
-            for text, f in zip(pdf["value"], pdf["file_path"], strict=True):
-                if f != file:
-                    file, case = f, None
-                doc = yaml.safe_load(text.lstrip("-")) or {}
+            for text, f, block, at in zip(pdf["value"], pdf["file_path"], pdf["block"], pdf["at"], strict=True):
+                doc = yaml.safe_load(text.lstrip("-"))
+                if not isinstance(doc, dict):
+                    continue
                 if "log" in doc:
-                    case = ((doc["log"] or {}).get("trace") or {}).get("concept:name", case)
+                    name = ((doc["log"] or {}).get("trace") or {}).get("concept:name")
+                    if name is not None:
+                        out.append((str(name), None, None, None, None, None, None, f, block, at))
                 elif "event" in doc:
                     e = doc["event"] or {}
                     raw = {}
@@ -129,15 +176,38 @@ def read_yaml(spark: SparkSession, path: str) -> DataFrame:
                         if p := item.get("stream:point"):
                             raw[f"{p.get('stream:source') or p.get('stream:system') or ''}/{p.get('stream:id') or str(p.get('stream:observation') or '').rpartition('#')[2]}"] = str(p.get("stream:value"))
                     text_of = lambda k, e=e: None if e.get(k) is None else str(e[k])
-                    out.append((case, text_of("concept:name"), text_of("time:timestamp"), text_of("lifecycle:transition"), text_of("org:resource"), {k: str(v) for k, v in e.items() if k not in (*CORE, "stream:datastream") and v is not None}, raw, f))
-            yield pd.DataFrame(out, columns=["case_id", "activity", "timestamp", "lifecycle", "resource", "attributes", "raw", "file_path"])
-
-    t = whole.mapInPandas(each, "case_id string, activity string, timestamp string, lifecycle string, resource string, attributes map<string,string>, raw map<string,string>, file_path string")
+                    out.append((None, text_of("concept:name"), text_of("time:timestamp"), text_of("lifecycle:transition"), text_of("org:resource"), {k: str(v) for k, v in e.items() if k not in (*CORE, "stream:datastream") and v is not None}, raw, f, block, at))
+            yield pd.DataFrame(out, columns=["trace", "activity", "timestamp", "lifecycle", "resource", "attributes", "raw", "file_path", "block", "at"])
+
+    t = docs.mapInPandas(each, "trace string, activity string, timestamp string, lifecycle string, resource string, attributes map<string,string>, raw map<string,string>, file_path string, block long, at long")
+    inside = Window.partitionBy("file_path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    last = t.where("trace is not null").groupBy("file_path", "block").agg(F.max_by("trace", "at").alias("_last"))
+    blocks = t.select("file_path", "block").distinct().join(last, ["file_path", "block"], "left")
+    carried = blocks.select("file_path", "block", F.last("_last", ignorenulls=True).over(Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))  # a row for each block
+    t = t.withColumn("_own", F.last("trace", ignorenulls=True).over(inside)).join(carried, ["file_path", "block"]).where("trace is null").withColumn("case_id", F.coalesce("_own", "_carried"))
     return t.select(
         F.lit(None).cast("long").alias("seq"), "case_id", F.col("case_id").alias("subprocess_id"), label("activity").alias("activity"), C.naive_timestamp(F.replace(F.col("timestamp"), F.lit(" "), F.lit("T"))).alias("ts"), "lifecycle", "resource",
-        "attributes", F.map_filter(F.transform_values("raw", lambda _, v: C.number(v)), lambda _, v: v.isNotNull()).alias("sensors"), F.col("raw").alias("sensors_raw"), "file_path", F.monotonically_increasing_id().alias("pos"),
+        "attributes", F.map_filter(F.transform_values("raw", lambda _, v: C.number(v)), lambda _, v: v.isNotNull()).alias("sensors"), F.col("raw").alias("sensors_raw"), "file_path", F.col("at").alias("pos"),
     )
 
 
+def write_yaml(log: DataFrame, path: str) -> None:
+    """A log as YAML documents, a `log` document before the events of a case; values are written as JSON texts, which are YAML."""
+    quoted = lambda c: F.to_json(F.struct(c.cast("string").alias("v")))
+    text = lambda c: F.regexp_extract(quoted(c), r'^\{"v":(.*)\}$', 1)
+    line = lambda k, c: F.when(c.isNotNull(), F.concat(F.lit(f'  "{k}": '), text(c), F.lit("\n"))).otherwise("")
+    extra = F.array_join(F.transform(F.map_entries("attributes"), lambda e: F.concat(F.lit("  "), text(e["key"]), F.lit(": "), text(e["value"]), F.lit("\n"))), "")
+    source, name = (lambda e, i=i: F.coalesce(F.try_element_at(F.split(e["key"], "/", 2), F.lit(i)), F.lit("")) for i in (1, 2))
+    seen = F.filter(F.map_entries("sensors_raw"), lambda e: e["value"].isNotNull())
+    point = lambda e: F.concat(F.lit('    - "stream:point": {"stream:source": '), text(source(e)), F.lit(', "stream:id": '), text(name(e)), F.lit(', "stream:value": '), text(e["value"]), F.lit("}\n"))
+    points_ = F.when(F.size(seen) > 0, F.concat(F.lit('  "stream:datastream":\n'), F.array_join(F.transform(seen, point), ""))).otherwise("")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    event = F.concat(F.lit("---\nevent:\n"), line("concept:name", F.col("activity")), line("time:timestamp", stamp), extra, points_)
+    head = F.concat(F.lit('---\nlog:\n  trace:\n    "concept:name": '), text(F.col("case_id")), F.lit("\n"))
+    cases = log.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", event.alias("e")))), lambda x: x["e"]), "").alias("events"))  # a case is one document chain
+    cases.select(F.concat(head, "events").alias("value")).write.mode("overwrite").text(path)
+    rename_parts(log.sparkSession, path, ".xes.yaml")
+
+
 def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], EVENT_LOG)
