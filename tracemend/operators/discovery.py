@@ -1,7 +1,9 @@
 """New activities from events that no cluster explains.
 
-Each task groups its events around leaders, up to a bound; the leaders of all tasks are merged; and every event is
-assigned to the nearest of them. Groups that are large, last, and stand apart from the known clusters get a label.
+Points are rounded to cells of a grid; events of a cell are summed where they are read, so what is shuffled is a row for
+each cell a task has met. Cells that touch, and whose means lie within the radius, belong to one group; groups are the
+connected components of such cells. Nothing is capped and no centre meets on the driver, so the result does not depend on
+how the events were dealt. Groups that are large, last, and stand apart from the known clusters get a label.
 """
 
 from __future__ import annotations
@@ -9,73 +11,99 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_LEADERS = 500  #: of a task, and of all tasks together
+KEY_DIMS = 3  #: projections that make the cells by which near ones are found
 
 
-def lead(z: np.ndarray, weight: np.ndarray, radius: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leaders in order of arrival and what they gathered; beyond `most`, the nearest gathers all the same."""
-    centres: list[np.ndarray] = []
-    n: list[float] = []
-    for x, w in zip(z, weight, strict=True):
-        d = np.linalg.norm(np.array(centres) - x, axis=1) if centres else np.empty(0)
-        if len(d) and (d.min() <= radius or len(centres) >= most):
-            i = int(d.argmin())
-            n[i] += w
-            centres[i] = centres[i] + (x - centres[i]) * (w / n[i])
-        else:
-            centres.append(x.astype(float))
-            n.append(float(w))
-    return np.array(centres).reshape(len(n), -1), np.array(n)
+def directions(dims: int, keys: int = KEY_DIMS) -> np.ndarray:
+    """Unit vectors, the same in each run, on which points are projected; for few dimensions the axes themselves."""
+    if dims <= keys:
+        return np.eye(dims)
+    q, _ = np.linalg.qr(np.random.default_rng(5).normal(size=(dims, keys)))
+    return q.T
 
 
-def candidates(points: DataFrame, radius: float, most: int = MOST_LEADERS) -> np.ndarray:
-    """Merged leaders of points (seq, z)."""
+def cells(points: DataFrame, radius: float) -> DataFrame:
+    """(cell, home, n, s, first_seq, last_seq): events (seq, z) of each cell summed; two points of a cell are within the radius of each other.
+
+    A cell is a cube of diagonal `radius` in all dimensions; home is the place of its projections on a grid of width radius.
+    """
 
     def each(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        centres, n = np.empty((0, 0)), np.empty(0)
         for pdf in batches:
-            if len(pdf):
-                z = np.stack(pdf["z"].to_numpy()).astype(float)
-                centres, n = lead(np.concatenate([centres.reshape(-1, z.shape[1]), z]), np.concatenate([n, np.ones(len(z))]), radius, most)
-        yield pd.DataFrame({"z": list(centres), "n": n})
-
-    # tasks' leaders meet by tens, so that the last merge sees at most ten times `most`
-    parts = points.select("z").mapInPandas(each, "z array<double>, n double")
-    rows = parts.select("z", "n").orderBy(F.desc("n"), "z").limit(10 * most).collect()
-    if not rows:
-        return np.empty((0, 0))
-    return lead(np.array([r["z"] for r in rows], float), np.array([r["n"] for r in rows]), radius, most)[0]
-
+            if not len(pdf):
+                continue
+            z = np.stack(pdf["z"].to_numpy()).astype(float)
+            cube = np.floor(z / (radius / np.sqrt(z.shape[1]))).astype(np.int64)
+            _, first, of = np.unique(cube, axis=0, return_index=True, return_inverse=True)
+            of = of.ravel()
+            sums = np.zeros((len(first), z.shape[1]))
+            np.add.at(sums, of, z)
+            seq = pdf["seq"].to_numpy()
+            low, high = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
+            np.minimum.at(low, of, seq)
+            np.maximum.at(high, of, seq)
+            yield pd.DataFrame({"cube": [c.tobytes() for c in cube[first]], "n": np.bincount(of, minlength=len(first)), "s": list(sums), "first_seq": low, "last_seq": high})
+
+    parts = points.where("seq is not null and z is not null").select("seq", "z").mapInPandas(each, "cube binary, n long, s array<double>, first_seq long, last_seq long")
+    add = F.aggregate(F.slice(F.collect_list("s"), 2, F.size(F.collect_list("s"))), F.collect_list("s")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))  # a row for each batch that met the cell
+    return parts.groupBy("cube").agg(F.sum("n").alias("n"), add.alias("s"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
+
+
+def linked(scratch, cubes: DataFrame, radius: float) -> DataFrame:
+    """(id, group): cells by number, joined where the means of two lie within the radius of each other.
+
+    Two means that near have projections in the same or in neighbouring places of the grid, so each cell meets those of the
+    places around its own. The work grows with the cells of such places: where the radius is as wide as all points lie
+    apart, that is each cell with each, so the radius should be that of one group.
+    """
 
-def discover(points: DataFrame, known: np.ndarray, radius: float, least: int = 10, persist: int = 5, separation: float = 3.0, first_number: int = 1) -> DataFrame:
-    """(label, n, first_seq, last_seq): groups of `least` events over `persist` positions, apart from known centroids by `separation`."""
-    leaders = candidates(points, radius)
-    spark = points.sparkSession
-    if not len(leaders):
-        return spark.createDataFrame([], "label string, n long, first_seq long, last_seq long")
-    apart = np.array([not len(known) or np.linalg.norm(known - c, axis=1).min() > separation for c in leaders])
-    shared = spark.sparkContext.broadcast(leaders)
-
-    def assign(batches: Iterator) -> Iterator:
+    def place(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for pdf in batches:
-            if len(pdf):
-                z = np.stack(pdf["z"].to_numpy()).astype(float)
-                d = ((z[:, None, :] - shared.value[None]) ** 2).sum(axis=2)
-                yield pd.DataFrame({"seq": pdf["seq"], "g": d.argmin(axis=1), "d": np.sqrt(d.min(axis=1))})
+            if not len(pdf):
+                continue
+            mean = np.stack(pdf["s"].to_numpy()) / pdf["n"].to_numpy()[:, None]
+            home = np.floor(mean @ directions(mean.shape[1]).T / radius).astype(np.int64)
+            yield pd.DataFrame({"id": pdf["id"], "mean": list(mean), "home": [h.tolist() for h in home]})
+
+    placed = scratch.keep(cubes.select("id", "n", "s").mapInPandas(place, "id long, mean array<double>, home array<long>"))
+    dims = placed.select(F.size("home")).first()
+    around = [[]]
+    for _ in range(dims[0] if dims else 0):
+        around = [[*p, d] for p in around for d in (-1, 0, 1)]
+    here = placed.select(F.col("id").alias("a"), F.col("mean").alias("ma"), F.explode(F.array(*(F.array(*(F.get("home", F.lit(i)) + d for i, d in enumerate(p))) for p in around))).alias("home"))
+    there = placed.select(F.col("id").alias("b"), F.col("mean").alias("mb"), "home")
+    far = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+    return scratch.keep(here.join(there, "home").where((F.col("a") < F.col("b")) & (far <= radius * radius)).select("a", "b"))
+
 
-    near = points.select("seq", "z").mapInPandas(assign, "seq long, g int, d double").where(F.col("d") <= radius)
-    groups = near.groupBy("g").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
-    good = groups.where((F.col("n") >= least) & (F.col("last_seq") - F.col("first_seq") >= persist) & F.col("g").isin([int(i) for i in np.flatnonzero(apart)]))
-    from pyspark.sql import Window
+def discover(points: DataFrame, known: np.ndarray, radius: float, least: int = 10, persist: int = 5, separation: float = 3.0, first_number: int = 1) -> DataFrame:
+    """(label, n, first_seq, last_seq): groups of `least` events over `persist` positions, apart from known centroids by `separation`.
 
-    number = F.row_number().over(Window.orderBy("first_seq", "g")) + (first_number - 1)  # at most a row for each leader
+    Groups are numbered by their first event. Events without a vector take no part.
+    """
+    from tracemend.operators.graphs import Scratch, components
+
+    scratch = Scratch(points.sparkSession, "discovery")
+    found = cells(points, radius).orderBy("first_seq", "cube").withColumn("id", F.monotonically_increasing_id())
+    cubes = scratch.keep(found)
+    groups = components(scratch, linked(scratch, cubes, radius))
+    t = cubes.join(groups, "id", "left").withColumn("group", F.coalesce("component", "id"))
+    add = F.aggregate(F.slice(F.collect_list("s"), 2, F.size(F.collect_list("s"))), F.collect_list("s")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    t = t.groupBy("group").agg(F.sum("n").alias("n"), add.alias("s"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
+    t = t.where((F.col("n") >= least) & (F.col("last_seq") - F.col("first_seq") >= persist))
+    apart = F.lit(True)
+    for c in known:  # a row for each label
+        centre = F.array(*(F.lit(float(x)) for x in c))
+        apart &= F.aggregate(F.zip_with(F.transform("s", lambda x: x / F.col("n")), centre, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x) > separation * separation
+    good = t.where(apart)
+    number = F.row_number().over(Window.orderBy("first_seq")) + (first_number - 1)  # a row for each new label
     return good.select(F.concat(F.lit("UNDISCOVERED_"), number.cast("string")).alias("label"), "n", "first_seq", "last_seq")
 
 

@@ -15,7 +15,11 @@ from tracemend.streaming.snapshot import SnapshotRepair, replay
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='tracemend-')}"
+    base = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tracemend-')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

@@ -184,7 +184,7 @@ def read_yaml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     last = t.where("trace is not null").groupBy("file_path", "block").agg(F.max_by("trace", "at").alias("_last"))
     blocks = t.select("file_path", "block").distinct().join(last, ["file_path", "block"], "left")
     carried = blocks.select("file_path", "block", F.last("_last", ignorenulls=True).over(Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))  # a row for each block
-    t = t.withColumn("_own", F.last("trace", ignorenulls=True).over(inside)).join(carried, ["file_path", "block"]).where("trace is null").withColumn("case_id", F.coalesce("_own", "_carried"))
+    t = t.withColumn("_own", F.last("trace", ignorenulls=True).over(inside)).join(carried, ["file_path", "block"]).where("trace is null").withColumn("case_id", F.coalesce("_own", "_carried")).sortWithinPartitions("file_path", "block", "at")
     return t.select(
         F.lit(None).cast("long").alias("seq"), "case_id", F.col("case_id").alias("subprocess_id"), label("activity").alias("activity"), C.naive_timestamp(F.replace(F.col("timestamp"), F.lit(" "), F.lit("T"))).alias("ts"), "lifecycle", "resource",
         "attributes", F.map_filter(F.transform_values("raw", lambda _, v: C.number(v)), lambda _, v: v.isNotNull()).alias("sensors"), F.col("raw").alias("sensors_raw"), "file_path", F.col("at").alias("pos"),
