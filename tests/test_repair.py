@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemend import config
-from tracemend.operators import cascade, discovery, drift, evaluation, metrics, payload, running
+from tracemend.operators import autoencoder, cascade, discovery, drift, evaluation, metrics, payload, running
 from tracemend.operators.cascade import Gates
 from tracemend.sources import clinical, files, xes
 
@@ -189,3 +189,46 @@ def test_case_history_outlives_order(spark, tmp_path):
     q.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     got = sorted(rows(spark.read.parquet(f"{tmp_path}/out")), key=lambda r: r["seq"])
     assert [r["so_far"] for r in got] == list(range(20)) and got[5]["mean"] == 4.0 and got[0]["provenances"] == "" and got[4]["provenances"] == "NORMAL,NORMAL,MISSING"
+
+
+def test_label_losses_by_differences():
+    draw = np.random.default_rng(2)
+    z, labels = draw.normal(size=(12, 3)), np.array([0, 0, 1, 1, 1, 2, 2, 2, 2, 3, 0, 1])
+    _, grad = autoencoder.cluster_loss(z, labels)
+    for i, j in ((0, 0), (5, 1), (9, 2), (11, 0)):
+        e = np.zeros_like(z)
+        e[i, j] = 1e-6
+        assert abs((autoencoder.cluster_loss(z + e, labels)[0] - autoencoder.cluster_loss(z - e, labels)[0]) / 2e-6 - grad[i, j]) < 1e-6
+    assert autoencoder.cluster_loss(z, np.zeros(12))[0] == 0.0
+    x = draw.normal(size=(12, 5))
+    m, head = autoencoder.fit(x, latent=3, hidden=4, epochs=1), autoencoder.Head.of(labels.tolist(), 3)
+    _, gw, gb = m.loss_and_gradients(x, x, 0.01, labels, head)
+    for p, g in [(m.weights[0], gw[0]), (m.weights[1], gw[1]), (head.weights, gw[4]), (head.bias, gb[4])]:
+        at = tuple(0 for _ in p.shape)
+        before = p[at]
+        p[at] = before + 1e-6
+        up = m.loss_and_gradients(x, x, 0.01, labels, head)[0]
+        p[at] = before - 1e-6
+        down = m.loss_and_gradients(x, x, 0.01, labels, head)[0]
+        p[at] = before
+        assert abs((up - down) / 2e-6 - g[at]) < 1e-5
+    head.grow([3, 7, 9])
+    assert head.labels == [0, 1, 2, 3, 7, 9] and head.weights.shape == (3, 6) and head.loss(z, head.numbers([7] * 12))[0] > 0
+    assert np.all(autoencoder.masked(x, 2, 1.0, draw)[:, :2] == 0) and np.all(autoencoder.masked(x, 2, 1.0, draw)[:, 2:] == x[:, 2:])
+
+
+def test_labels_draw_clusters_apart(spark):
+    draw = np.random.default_rng(6)
+    pts = [(i, i % 3, (draw.normal(size=6) + 1.2 * np.eye(6)[i % 3]).tolist()) for i in range(300)]
+    df = spark.createDataFrame(pts, "seq long, label int, x array<double>")
+
+    def score(model):
+        z = {r["seq"]: np.array(r["z"]) for r in rows(autoencoder.encode(df, model))}
+        own = [np.array([z[i] for i, k, _ in pts if k == c]) for c in range(3)]
+        return np.mean([o.std(axis=0).mean() for o in own]) / np.std([o.mean(axis=0) for o in own])
+
+    plain, told = autoencoder.train(df, epochs=20, latent=4), autoencoder.train_labelled(df, 2, epochs=20, latent=4)
+    assert score(told) < score(plain)
+    assert autoencoder.tune(df.limit(10), told) is told
+    tuned = autoencoder.tune(df, told, epochs=3)
+    assert tuned is not told and np.array_equal(tuned.mean, told.mean) and not np.array_equal(tuned.weights[0], told.weights[0])

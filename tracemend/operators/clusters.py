@@ -73,6 +73,11 @@ def confidence(members: DataFrame, mode: str = "entropy", reliable: int = 50, le
     entropy: u (1 - H/Hmax)**strength w; margin: (u - second) w; log_combined: logistic(ln u - strength H + ln w);
     plain: u w. H is the entropy of the memberships, Hmax = ln K (1 for one cluster), w = min(1, n / reliable).
     """
+    return confidences(members, [mode], reliable, least, strength).drop("mode")
+
+
+def confidences(members: DataFrame, modes: list[str], reliable: int = 50, least: int = 2, strength: float = 1.0) -> DataFrame:
+    """confidence() in several modes from one aggregation: a row for each event and mode."""
     agg = members.groupBy("vec_id").agg(
         F.max(F.struct("u", (-F.col("label")).alias("early"), "label", "n")).alias("b"), F.count("*").alias("k"),
         F.sum(F.when(F.col("u") > 1e-15, -F.col("u") * F.log("u")).otherwise(0.0)).alias("h"), F.sort_array(F.collect_list("u"), asc=False).alias("us"),
@@ -83,8 +88,9 @@ def confidence(members: DataFrame, mode: str = "entropy", reliable: int = 50, le
     score = {
         "entropy": u * F.pow(F.greatest(1 - F.col("h") / hmax, F.lit(0.0)), F.lit(strength)) * w, "margin": (u - second) * w,
         "log_combined": 1 / (1 + F.exp(-(F.log(u) - strength * F.col("h") + F.log(w)))), "plain": u * w,
-    }[mode]
-    return agg.select("vec_id", F.col("b.label").alias("label"), u.alias("u"), second.alias("second"), score.alias("confidence"))
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), score[m].alias("confidence")) for m in modes))).alias("c")
+    return agg.select("vec_id", F.col("b.label").alias("label"), u.alias("u"), second.alias("second"), each).select("vec_id", "c.mode", "label", "u", "second", "c.confidence")
 
 
 def class_prior(scored: DataFrame, shares: DataFrame, beta: float) -> DataFrame:

@@ -26,16 +26,29 @@ def vocabulary(log: DataFrame) -> DataFrame:
 
 def prefix_ids(log: DataFrame, width: int) -> DataFrame:
     """The ids of the `width` events before each event, padded on the left; missing labels have an id of their own."""
-    known = log.join(F.broadcast(vocabulary(log).select("activity", "label_id")), "activity", "left").withColumn("id", F.coalesce("label_id", F.lit(MISSING)))
+    return with_ids(log).select("seq", padded_ids(width).alias("prefix"))
+
+
+def padded_ids(width: int):
+    """The column of prefix_ids() over rows with `id`."""
     seen = F.collect_list("id").over(by_case().rowsBetween(-width, -1))
-    return known.select("seq", F.concat(F.array_repeat(F.lit(PAD), F.lit(width) - F.size(seen)), seen).alias("prefix"))
+    return F.concat(F.array_repeat(F.lit(PAD), F.lit(width) - F.size(seen)), seen)
+
+
+def gap_hours(cap: float = 24.0):
+    """The column of hours_since_previous() before rounding."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return F.coalesce(F.least((seconds - F.lag(seconds).over(by_case())) / 3600, F.lit(cap)), F.lit(0.0))
+
+
+def with_ids(log: DataFrame) -> DataFrame:
+    """log with the `id` of each label; missing labels have an id of their own."""
+    return log.join(F.broadcast(vocabulary(log).select("activity", "label_id")), "activity", "left").withColumn("id", F.coalesce("label_id", F.lit(MISSING))).drop("label_id")  # a row for each label
 
 
 def hours_since_previous(log: DataFrame, cap: float = 24.0) -> DataFrame:
     """Hours since the case's previous event, capped above only; 0 for the first."""
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    gap = (seconds - F.lag(seconds).over(by_case())) / 3600
-    return log.select("seq", F.round(F.coalesce(F.least(gap, F.lit(cap)), F.lit(0.0)), 6).alias("hours"))
+    return log.select("seq", F.round(gap_hours(cap), 6).alias("hours"))
 
 
 def occurrences(log: DataFrame) -> DataFrame:

@@ -230,12 +230,8 @@ def fuzzy_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composite_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _scored(spark, sf_dir)
-    out = None
-    for mode in ("entropy", "margin", "log_combined", "plain"):
-        t = clusters.confidence(m, mode).select("vec_id", F.lit(mode).alias("mode"), "label", F.round("confidence", 4).alias("confidence"))
-        out = t if out is None else out.unionByName(t)
-    return out
+    t = clusters.confidences(_scored(spark, sf_dir), ["entropy", "margin", "log_combined", "plain"])
+    return t.select("vec_id", "mode", "label", F.round("confidence", 4).alias("confidence"))
 
 
 def bfr_full_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemend.operators import autoencoder, calibration, clusters, discovery, drift, features, sequence
+from tracemend.operators.graphs import Scratch
 from tracemend.schema import from_events
 from tracemend.streaming.snapshot import SnapshotRepair, replay
 
@@ -26,26 +27,24 @@ def _folder(spark: SparkSession, name: str) -> str:
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label (position of the true label, null where masked), x: previous labels one-hot, gap, value, time of day."""
     log = from_events(spark, sf_dir)
-    ids = features.prefix_ids(log, 3)
-    gap = features.hours_since_previous(log)
     names = sorted(r[0] for r in log.select("activity").where("activity is not null").distinct().collect())  # the labels
     position = F.coalesce(*(F.when(F.col("activity") == a, i) for i, a in enumerate(names)))
     width = len(names) + features.FIRST_ID
     hot = F.flatten(F.transform("prefix", lambda p: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (i == p).cast("double"))))
-    t = log.join(ids, "seq").join(gap, "seq")
+    t = features.with_ids(log).select("*", features.padded_ids(3).alias("prefix"), F.round(features.gap_hours(), 6).alias("hours"))
     x = F.concat(hot, F.array(F.col("hours"), F.coalesce("value", F.lit(0.0)), F.hour("ts") / 24.0, F.weekday("ts") / 7.0))
     return t.select(F.col("seq").alias("vec_id"), position.cast("int").alias("label"), x.alias("x"))
 
 
 def sdae_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = feature_vectors(spark, sf_dir)
+    v = Scratch(spark, "vectors").keep(feature_vectors(spark, sf_dir))
     model = autoencoder.train(v.where("label is not null").select("x"), epochs=5)
     return autoencoder.encode(v, model)
 
 
 def cluster_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way: features, latent vectors, clusters, memberships, confidence, decision."""
-    z = sdae_encode(spark, sf_dir)
+    z = Scratch(spark, "latent").keep(sdae_encode(spark, sf_dir))  # read for the clusters and for the scores
     d = clusters.full_distances(z.where("label is null").select("vec_id", "z"), clusters.full_clusters(z.select("label", "z"), epsilon=1e-3), least=20)
     best = clusters.confidence(clusters.memberships(d), "plain")
     return best.select("vec_id", F.when(F.col("confidence") >= 0.2, F.col("label")).alias("recovered"), "confidence", F.when(F.col("confidence") >= 0.2, "RECOVERED_ML").otherwise("UNRECOVERED_ML").alias("provenance"))
