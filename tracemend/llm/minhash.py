@@ -149,14 +149,13 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside buckets between members of different components (key, rep, component): a spanning forest of each pair of blocks.
+    """Links inside buckets between members of different components (key, rep, n_shingles, component): a spanning forest of each pair of blocks.
 
     A bucket's largest component is dealt to blocks of its own, which meet the other members' blocks but not each other,
     so a hot bucket of one large family and some outsiders costs its size times the outsiders. Blocks are bounded by
     members and by shingles; no pair is emitted that isn't a link.
     """
-    sized = members.join(sets.select(F.col("doc_id").alias("rep"), "n_shingles"), "rep")
-    parts = sized.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
     blocks = lambda n, weight: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(weight / BLOCK_SHINGLES)).cast("int")
     largest = F.max(F.struct("n", "component", "weight"))
     plan = parts.groupBy("key").agg(largest.alias("m"), (F.sum("n") - F.max(F.struct("n", "component", "weight"))["n"]).alias("n"), (F.sum("weight") - F.max(F.struct("n", "component", "weight"))["weight"]).alias("weight"))
@@ -166,7 +165,9 @@ def rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     inside = F.col("component") == F.col("main")
     own = F.when(inside, F.pmod(F.xxhash64("rep"), "ours")).otherwise(F.col("ours") + F.pmod(F.xxhash64("rep"), "others")).cast("int")
     at = at.select("key", "rep", inside.alias("inside"), "ours", "others", own.alias("own"))
-    partners = F.sequence(F.when(F.col("inside"), F.col("ours")).otherwise(F.lit(0)), F.col("ours") + F.col("others") - 1)
+    # a block of outsiders is compared with itself where it meets the first block of the largest component
+    every = F.sequence(F.when(F.col("inside"), F.col("ours")).otherwise(F.lit(0)), F.col("ours") + F.col("others") - 1)
+    partners = F.filter(every, lambda o: o != F.col("own"))
     dealt = at.select("key", "rep", F.explode(F.transform(partners, lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))).alias("p")).select("key", "p.i", "p.j", "rep")
     full = dealt.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
 
@@ -197,12 +198,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     if keys is not None:  # some id has several texts: a key for each stands for it, in the same order
         some = scratch.keep(some.join(keys, ["doc_id", "digest"]).drop("doc_id").withColumnRenamed("key", "doc_id"))
     classes = scratch.keep(some.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    first = some.join(classes, (F.col("doc_id") == F.col("rep")) & (some["digest"] == classes["digest"])).select("rep", "bands").dropDuplicates(["rep"])
-    banded = first.select("rep", F.explode("bands").alias("key"))
+    first = some.join(classes, (F.col("doc_id") == F.col("rep")) & (some["digest"] == classes["digest"])).select("rep", "n_shingles", "bands").dropDuplicates(["rep"])
+    banded = first.select("rep", "n_shingles", F.explode("bands").alias("key"))
     # the pivot is the member least after a mix with the key, so that the buckets of a group have different pivots
     mixed = F.col("rep").bitwiseXOR(F.col("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.min(mixed).alias("least")).where("n > 1")
-    multi = scratch.keep(banded.join(buckets, "key").select("key", "rep", F.col("least").bitwiseXOR(F.col("key")).alias("pivot"), "n"))
+    multi = scratch.keep(banded.join(buckets, "key").select("key", "rep", "n_shingles", F.col("least").bitwiseXOR(F.col("key")).alias("pivot"), "n"))
     needed = scratch.keep(multi.select(F.col("rep").alias("doc_id")).distinct())
     few = needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sets = scratch.keep(some.select("doc_id", "n_shingles", "shingles").join(F.broadcast(needed) if few else needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -210,7 +211,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     stars = scratch.keep(confirmed(pairs, sets, percent))
     found = components(scratch, stars)
     # buckets of two are done; larger ones are, if the stars joined all their members
-    apart = scratch.keep(multi.where("n > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")))
+    apart = scratch.keep(multi.where("n > 2").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")))
     open_ = scratch.keep(apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"))
     few = open_.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # a hot bucket then stays in the tasks that read it
     more = scratch.keep(rest(apart.join(F.broadcast(open_) if few else open_, "key", "left_semi"), sets, percent).distinct())
