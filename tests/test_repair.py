@@ -71,11 +71,11 @@ def test_each_gate(spark):
     assert step(g, best=None, tops=[], cluster_conf=0.0, cluster_margin=None, seq_label=None, cache_label=None) == ("unsure", None, "UNRECOVERED_ML")
 
 
-@pytest.mark.parametrize("block", [1, 7, 1000])
-def test_running_sums_do_not_depend_on_blocks(spark, block):
+@pytest.mark.parametrize(("block", "deep"), [(1, False), (7, False), (1000, False), (3, True), (1000, True)])
+def test_running_sums_do_not_depend_on_blocks(spark, block, deep):
     draw = random.Random(4)
     data = [(i, draw.choice(["x", "y", None]), draw.choice([1, 2, None])) for i in range(120)]
-    t = running.running_sums(spark.createDataFrame(data, "seq long, k string, v int").repartition(3), ["k"], "seq", {"before": F.col("v"), "n": F.lit(1)}, block)
+    t = running.running_sums(spark.createDataFrame(data, "seq long, k string, v int").repartition(3), ["k"], "seq", {"before": F.col("v"), "n": F.lit(1)}, block, deep)
     got = {r["seq"]: (r["before"], r["n"]) for r in rows(t)}
     for i, k, _ in data:
         own = [v or 0 for j, q, v in data if j < i and q == k]

@@ -134,7 +134,7 @@ def by_clusters(log: DataFrame, labels: list[str], dims: int, gates: Gates, epsi
         for j in range(dims):
             sums[f"_s{i}_{j}"], sums[f"_q{i}_{j}"] = F.when(own, z[j]).otherwise(0.0), F.when(own, z[j] * z[j]).otherwise(0.0)
     if until is None:
-        t = running_sums(log.withColumn("_all", F.lit(0)), ["_all"], "seq", sums, block_rows)
+        t = running_sums(log.withColumn("_all", F.lit(0)), ["_all"], "seq", sums, max(1, block_rows // 8), deep=True)  # one key: smaller blocks for more tasks
     else:
         t = log.crossJoin(F.broadcast(log.where(F.col("seq") < until).agg(*(F.coalesce(F.sum(v), F.lit(0)).alias(c) for c, v in sums.items()))))  # one row
 

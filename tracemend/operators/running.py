@@ -12,17 +12,24 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 1 << 16  #: positions of `order` that make a block
 
 
-def running_sums(rows: DataFrame, keys: list[str], order: str, values: dict[str, Column], block_rows: int = BLOCK_ROWS) -> DataFrame:
+def running_sums(rows: DataFrame, keys: list[str], order: str, values: dict[str, Column], block_rows: int = BLOCK_ROWS, deep: bool = False) -> DataFrame:
     """rows with, for each name in `values`, the sum of its expression over the rows of the same keys that stand earlier.
 
     `order` counts arrivals, so a block holds `block_rows` rows of all keys at most; rows that repeat a position share a
-    block. Null keys are a key, null values count as 0.
+    block. Null keys are a key, null values count as 0. deep: the sums of blocks are summed in blocks in turn, for keys of
+    many millions of blocks.
     """
     block = F.floor(F.col(order) / block_rows)
     t = rows.select("*", block.alias("_block"), *(F.coalesce(v, F.lit(0)).alias(f"_v_{n}") for n, v in values.items()))
     sums = t.groupBy(*keys, "_block").agg(*(F.sum(f"_v_{n}").alias(f"_b_{n}") for n in values))
-    blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_block").alias("_of"), *(F.coalesce(F.sum(f"_b_{n}").over(blocks), F.lit(0)).alias(f"_b_{n}") for n in values))
+    if deep:
+        sums = running_sums(sums.withColumnRenamed("_block", "_outer"), keys, "_outer", {f"_p_{n}": F.col(f"_b_{n}") for n in values}, block_rows)
+        earlier = {n: F.col(f"_p_{n}") for n in values}
+    else:
+        sums = sums.withColumnRenamed("_block", "_outer")
+        blocks = Window.partitionBy(*keys).orderBy("_outer").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = {n: F.coalesce(F.sum(f"_b_{n}").over(blocks), F.lit(0)) for n in values}
+    before = sums.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_outer").alias("_of"), *(v.alias(f"_b_{n}") for n, v in earlier.items()))
     same = F.col("_block").eqNullSafe(F.col("_of"))
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
