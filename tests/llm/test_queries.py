@@ -282,3 +282,29 @@ def test_empty_tables_and_clashing_columns_in_the_stages(spark, tmp_path):
             out = stage(spark, spark.read.parquet(f"{path}/documents.parquet"), path)
             assert out.columns == corpus_pipeline.COLUMNS and out.count() == len(data)
         assert corpus_pipeline.run(spark, path).where("start = 0").count() == len(data)
+
+
+CHATML = """{% for message in messages %}{{ '<|im_start|>' + message['role'] + '\n' + message['content'] + '<|im_end|>' + '\n' }}{% endfor %}{% if add_generation_prompt %}{{ '<|im_start|>assistant\n' }}{% endif %}"""
+INSTRUCT = """{% if messages[0]['role'] == 'system' %}{% set rest = messages[1:] %}{% set system = messages[0]['content'] %}{% else %}{% set rest = messages %}{% set system = false %}{% endif %}{% for message in rest %}{% if (message['role'] == 'user') != (loop.index0 % 2 == 0) %}{{ raise_exception('roles must alternate') }}{% endif %}{% if loop.index0 == 0 and system is not false %}{% set content = '<<SYS>>\n' + system + '\n<</SYS>>\n\n' + message['content'] %}{% else %}{% set content = message['content'] %}{% endif %}{% if message['role'] == 'user' %}{{ bos + '[INST] ' + content.strip() + ' [/INST]' }}{% elif message['role'] == 'assistant' %}{{ ' ' + content.strip() + ' ' + eos }}{% endif %}{% endfor %}"""
+LAST = """{%- set ns = namespace(n=0, last=-1) -%}{%- for m in messages -%}{%- if m.role == 'user' -%}{%- set ns.n = ns.n + 1 -%}{%- set ns.last = loop.index0 -%}{%- endif -%}{%- endfor -%}{{ ns.n }}:{{ messages[ns.last].content | upper }}:{{ messages[-1].role }}{% if tools is defined %} tools{% endif %}"""
+
+
+def test_common_template_shapes():
+    from tracemend.llm import chat
+
+    run = lambda source, **env: "".join(t for t, _ in chat.compile_template(source)(env))
+    say = lambda *turns: [{"role": r, "content": c} for r, c in turns]
+    talk = say(("user", " hi "), ("assistant", "yes "))
+    assert run(CHATML, messages=talk, add_generation_prompt=True) == "<|im_start|>user\n hi <|im_end|>\n<|im_start|>assistant\nyes <|im_end|>\n<|im_start|>assistant\n"
+    assert run(INSTRUCT, messages=talk, bos="<s>", eos="</s>") == "<s>[INST] hi [/INST] yes </s>"
+    assert run(INSTRUCT, messages=say(("system", "be short"), ("user", "q")), bos="<s>", eos="</s>") == "<s>[INST] <<SYS>>\nbe short\n<</SYS>>\n\nq [/INST]"
+    with pytest.raises(chat.TemplateError, match="alternate"):
+        run(INSTRUCT, messages=say(("assistant", "x")), bos="", eos="")
+    assert run(LAST, messages=[*talk, *say(("user", "more"))]) == "2:MORE:user" and run(LAST, messages=talk, tools=None) == "1: HI :assistant tools"
+    assert run("{{ 7 // 2 }}{{ -3 + 5 }}{{ 2 * 3 - 1 }}{{ x[1:2][0] if x is iterable else 0 }}{{ 'a' in ['a', y] }}", x=[4, 5], y=1) == "3255True"
+    for bad in ("{{ x.format() }}", "{{ open('f') }}", "{{ namespace(1) }}", "{{ x is callable }}", "{{ [1, }}", "{{ x[ }}", "{{ 1 - }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad)
+    for bad, x in (("{{ x.__class__ }}", [1]), ("{{ x['__len__'] }}", [1]), ("{{ x * 9 }}", "a"), ("{{ 1 % 0 }}", 0), ("{{ x.strip() }}", [1]), ("{% set x.y = 1 %}", {}), ("{{ x[5] }}", [1])):
+        with pytest.raises(chat.TemplateError):
+            run(bad, x=x)
