@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -33,10 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables as Parquet in the shared folder; they cut lineage and survive lost executors."""
 
+    roots: ClassVar[list[str]] = []  #: folders of this session, in order
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self.roots.append(self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -54,6 +58,14 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def forget_since(spark: SparkSession, mark: int) -> None:
+    """Delete the folders opened since there were `mark` of them, once what was made from them is stored elsewhere."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while len(Scratch.roots) > mark:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(Scratch.roots.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def fresh(taken: list[str], name: str) -> str:
     """A column name that is not taken; names are compared as Spark does, without case."""
     low = {c.lower() for c in taken}
