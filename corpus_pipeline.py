@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemend.llm import decontaminate, minhash, packing, quality, suffix_dedup
-from tracemend.llm.common import Scratch, table
+from tracemend.llm.common import Scratch, forget_since, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -93,8 +93,14 @@ ORACLE_SQL = None  # a trained model and a tokenizer are not SQL; tests compare
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", *COLUMNS)
+    """The stages one after another over all documents; what a stage needed meanwhile is deleted when its result is stored."""
+    docs, before = table(spark, sf_dir, "documents", *COLUMNS), None
     scratch = Scratch(spark, "pipeline")
     for _, stage in STAGES:
+        mark = len(Scratch.roots)
         docs = scratch.keep(stage(spark, docs, sf_dir))
+        forget_since(spark, mark)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs

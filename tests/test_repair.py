@@ -232,3 +232,23 @@ def test_labels_draw_clusters_apart(spark):
     assert autoencoder.tune(df.limit(10), told) is told
     tuned = autoencoder.tune(df, told, epochs=3)
     assert tuned is not told and np.array_equal(tuned.mean, told.mean) and not np.array_equal(tuned.weights[0], told.weights[0])
+
+
+def test_logs_as_streams(spark, tmp_path):
+    """XES files that a stream reads give what a batch reads; a single compressed file is found from its folder."""
+    import gzip
+
+    event = lambda c, k: f'<event><string key="concept:name" value="a{k}"/><date key="time:timestamp" value="2024-01-01T10:00:0{k}Z"/><int key="cost" value="{c}"/></event>'
+    (tmp_path / "in").mkdir()
+    for c in range(3):
+        (tmp_path / "in" / f"{c}.xes").write_text(f'<?xml version="1.0"?><log><trace><string key="concept:name" value="t{c}"/>{"".join(event(c, k) for k in range(4))}</trace></log>')
+    at = f"file://{tmp_path}"
+    xes.read_xml(spark, f"{at}/in", streaming=True).drop("attributes", "sensors", "sensors_raw").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination()
+    want = sorted((f"t{c}", f"a{k}") for c in range(3) for k in range(4))
+    assert sorted((r["case_id"], r["activity"]) for r in rows(spark.read.parquet(f"{at}/out"))) == want
+    few = xes.read_logs(spark, f"{at}/in", where=F.col("activity") != "a0", most_files=2, most_events=2)
+    assert sorted((r["case_id"], r["activity"]) for r in rows(few)) == [("t0", "a1"), ("t0", "a2"), ("t1", "a1"), ("t1", "a2")]
+    (tmp_path / "one.xes").mkdir()
+    with gzip.open(tmp_path / "one.xes" / "one.xes.gz", "wt") as f:
+        f.write((tmp_path / "in" / "1.xes").read_text())
+    assert sorted(r["attributes"]["cost"] for r in rows(xes.read_single(spark, f"{at}/one.xes"))) == ["1"] * 4
