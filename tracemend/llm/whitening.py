@@ -40,7 +40,7 @@ def matrix(lists: pa.Array, dims: int, kind: type = np.int64) -> np.ndarray:
     """Rows of a list array, shorter ones filled up with zeros."""
     flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
     if len(sizes) and (sizes == dims).all():
-        return flat.reshape(-1, dims).astype(kind, copy=False)
+        return flat.reshape(len(sizes), dims).astype(kind, copy=False)
     out = np.zeros((len(sizes), dims), kind)
     out[np.arange(dims) < sizes[:, None]] = flat
     return out
