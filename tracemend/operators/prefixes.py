@@ -97,12 +97,6 @@ def decayed(additions: DataFrame, every: int, factor: float, least: float) -> Da
     return end.where(F.col("weight") > 0).withColumn("weight", F.round("weight", 6))
 
 
-def keep_recent(counts: DataFrame, most: int, by: list[str]) -> DataFrame:
-    """counts (with touched) of the `most` keys that were touched last, ties by key."""
-    last = counts.groupBy(*by).agg(F.max("touched").alias("_t")).orderBy(F.desc("_t"), *by).limit(most)
-    return counts.join(F.broadcast(last.drop("_t")), by, "left_semi")  # `most` rows
-
-
 def prefix_entries(repaired: DataFrame, width: int) -> DataFrame:
     """repaired with `entries`: label (given or recovered), provenance and confidence of the `width` events before in the case, oldest first."""
     entry = F.struct(F.col("recovered").alias("label"), "provenance", "confidence")

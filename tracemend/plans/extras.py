@@ -151,24 +151,6 @@ def balanced_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.balanced_reservoir(log(spark, sf_dir), 300)
 
 
-def dfg_decayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges that lose a tenth after each 200 additions, the 12 that were touched last."""
-    t = dfg.follows(log(spark, sf_dir)).where("prev is not null and activity is not null")
-    return prefixes.keep_recent(prefixes.decayed(t.select("seq", F.col("prev").alias("prefix"), "activity"), 200, 0.9, 0.0), 12, ["prefix", "activity"])
-
-
-def count_cache_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decayed counts of the 10 prefixes that were touched last."""
-    t = prefixes.with_prefix(log(spark, sf_dir), 2).where("activity is not null").select("seq", "prefix", "activity")
-    return prefixes.keep_recent(prefixes.decayed(t, 300, 0.9, 0.0), 10, ["prefix"])
-
-
-def _decayed(source: str, every: int, most: int, key: str) -> str:
-    return f"""numbered AS (SELECT *, (row_number() OVER (ORDER BY seq, prefix, activity) - 1) // {every} AS epoch, (count(*) OVER ()) // {every} AS decays FROM {source}),
-weights AS (SELECT prefix, activity, round(sum(0.9::DOUBLE ** (decays - epoch)), 6) AS weight, max(seq) AS touched FROM numbered GROUP BY 1, 2),
-keys AS (SELECT {key}, max(touched) AS t FROM weights GROUP BY {key} ORDER BY t DESC, {key} LIMIT {most}) SELECT prefix, activity, weight, touched FROM weights SEMI JOIN keys USING ({key})"""
-
-
 def count_cache_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: prefixes of the cache, and its observations."""
     t = prefixes.with_prefix(log(spark, sf_dir), 3).where("activity is not null")
@@ -350,7 +332,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         common_attribute_keys, attribute_key_slots, payload_vectors, enriched_features, label_vectors, sensor_vector_names, top_recovered_labels, evaluation_runs, kept_run, holdout_split, masked_and_restored,
-        label_class_counts, balanced_reservoir, dfg_decayed, count_cache_bounded, count_cache_size, dfg_size, prefix_entries, saved_clusters, alpha_lambda_best, bfr_covariance_all, drift_signals, drift_verdicts,
+        label_class_counts, balanced_reservoir, count_cache_size, dfg_size, prefix_entries, saved_clusters, alpha_lambda_best, bfr_covariance_all, drift_signals, drift_verdicts,
         drift_tiers, drift_summary, recent_labelled, null_numbers, json_round_trip, wide_csv_round_trip, ticket_csv_round_trip, audit_csv, written_log, file_index, compressed_tables, batched_parts, compressed_xes, yaml_round_trip,
     )
 }
@@ -375,8 +357,6 @@ SELECT CAST(row_number() OVER (ORDER BY o, activity) - 1 AS INTEGER) AS cell, 'i
     "label_class_counts": f"WITH {LOG}, n AS (SELECT activity, count(*) AS n FROM log WHERE activity IS NOT NULL GROUP BY 1) SELECT *, n = max(n) OVER () AS largest FROM n",
     "balanced_reservoir": f"""WITH {LOG}, n AS (SELECT activity, count(*) AS n FROM log WHERE activity IS NOT NULL GROUP BY 1), q AS (SELECT *, CAST(floor((300 - (sum(n) OVER w - n)) / (count(*) OVER () - row_number() OVER w + 1)) AS BIGINT) AS quota FROM n WINDOW w AS (ORDER BY n, activity)),
 cut AS (SELECT arg_min(quota, n) AS q FROM q WHERE n > quota), r AS (SELECT seq, activity, row_number() OVER (PARTITION BY activity ORDER BY {_draw(7)}, seq) AS k FROM log WHERE activity IS NOT NULL) SELECT seq, activity FROM r, cut WHERE q IS NULL OR k <= q""",
-    "dfg_decayed": f"WITH {EDGES}, adds AS (SELECT seq, prev AS prefix, activity FROM pairs WHERE prev IS NOT NULL AND activity IS NOT NULL), {_decayed('adds', 200, 12, 'prefix, activity')}",
-    "count_cache_bounded": f"WITH {LOG}, {_prefixed(2)}, adds AS (SELECT seq, prefix, activity FROM prefixed WHERE activity IS NOT NULL), {_decayed('adds', 300, 10, 'prefix')}",
     "count_cache_size": f"WITH {LOG}, {_prefixed(3)} SELECT count(DISTINCT prefix) AS prefixes, count(*) AS observations FROM prefixed WHERE activity IS NOT NULL",
     "dfg_size": f"WITH {EDGES}, {_pairs(0.3)} SELECT (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM paired) AS n_parallel_pairs",
     "prefix_entries": f"""WITH {REPAIRED}, e AS (SELECT *, list(coalesce(recovered, '?') || '/' || provenance) OVER w AS l, list(provenance) OVER w AS p FROM repaired WINDOW w AS (PARTITION BY case_id ORDER BY seq ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))

@@ -11,15 +11,7 @@ from tracemend.plans.oracles import EDGES, LOG, _prefixed
 from tracemend.plans.repair import DIMS, with_z
 from tracemend.schema import from_events
 from tracemend.streaming import cases
-from tracemend.streaming.snapshot import LEAST_PIECES, SnapshotClusters, SnapshotGraph, SnapshotRepair, replay
-
-
-def stream_repair_decayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with counts that decay and a bound on the prefixes; how many events have which provenance."""
-    folder = _folder(spark, "stream")
-    target = SnapshotRepair(spark, f"{folder}/state", order=2, dominance=0.25, support=5, every=100, most=20)
-    replay(from_events(spark, sf_dir).select("seq", "case_id", "activity", "truth"), target, folder)
-    return target.results().groupBy("provenance").agg(F.count("*").alias("n"))
+from tracemend.streaming.snapshot import LEAST_PIECES, SnapshotClusters, SnapshotGraph, replay
 
 
 def stream_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +51,7 @@ def stream_case_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq", "case_id", "prefix", "provenances", "so_far", "labels", F.round("age", 4).alias("age"), F.round("mean", 4).alias("mean"), F.round("deviation", 3).alias("deviation"))
 
 
-QUERIES = {f.__name__: f for f in (stream_repair_decayed, stream_graph, stream_clusters, stream_cluster_distances, stream_case_history)}
+QUERIES = {f.__name__: f for f in (stream_graph, stream_clusters, stream_cluster_distances, stream_case_history)}
 
 # a batch is numbered by which of the equal stretches of seq an event lies in
 _BATCHES = f"""span AS (SELECT min(event_id) AS lo, max(event_id) - min(event_id) + 1 AS n, greatest({LEAST_PIECES}, CAST(ceil(count(*) / 250000.0) AS BIGINT)) AS pieces FROM events), cuts AS (SELECT unnest([lo + n * i // pieces FOR i IN range(1, pieces)]) AS cut FROM span)"""
