@@ -290,6 +290,12 @@ def test_syscalls(spark):
     assert [(r["activity"], r["sensors"]) for r in got] == [("open_0_yes", {"counter/n": 3.0, "list/args": 2.0}), (None, {})]
 
 
+def test_super_categories_are_looked_up_as_written(spark):
+    some = spark.createDataFrame([("Antibiotics",), ("antibiotics",), (None,), ("General",), ("CVL Insertion",), ("new",)], "c string")
+    got = {r["c"]: r["super"] for r in clinical.super_category(F.col("c"), clinical.mapping_table(spark), some).collect()}
+    assert got == {"Antibiotics": "MEDICATION_ABX", "antibiotics": "OTHER_TREATMENT", None: "OTHER_TREATMENT", "General": "OTHER_TREATMENT", "CVL Insertion": "VASCULAR_ACCESS", "new": "OTHER_TREATMENT"}
+
+
 def test_clinical_log(spark):
     t = lambda h, m=0: datetime(2024, 1, 1, h, m)
     make = lambda data, schema: spark.createDataFrame(data, schema)
@@ -301,7 +307,7 @@ def test_clinical_log(spark):
         "chartevents": make([(9, 220045, t(4, 5), 80.0), (9, 220045, t(4, 50), 85.0), (9, 1, t(4), 1.0)], "stay_id long, itemid long, charttime timestamp, valuenum double"),
         "inputevents": make([(9, 7, t(5), t(6))], "stay_id long, itemid long, starttime timestamp, endtime timestamp"),
         "d_items": make([(7, "Antibiotics")], "itemid long, category string"),
-    }, make([("antibiotics", "ANTI")], "category string, super string"))
+    }, make([("Antibiotics", "ANTI")], "category string, super string"))
     got = sorted(rows(got), key=lambda r: r["seq"])
     assert [r["activity"] for r in got] == ["ED_Arrival", "Triage_Assessment", "ED_Departure", "Hospital_Admission", "ICU_Admission", "ICU_Vital_Measurement", "START ANTI", "ICU_Discharge", "Hospital_Discharge"]
     assert got[1]["sensors"] == {"vital/temperature": 37.0, "vital/o2sat": 99.0, "vital/sbp": 120.0, "vital/dbp": 80.0} and len(got[5]["sensors"]) == 2

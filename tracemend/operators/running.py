@@ -19,23 +19,21 @@ def running_sums(rows: DataFrame, keys: list[str], order: str, values: dict[str,
     block. Null keys are a key, null values count as 0. deep: the sums of blocks are summed in blocks in turn, for keys of
     many millions of blocks.
     """
-    block = F.floor(F.col(order) / block_rows)
-    t = rows.select("*", block.alias("_block"), *(F.coalesce(v, F.lit(0)).alias(f"_v_{n}") for n, v in values.items()))
-    sums = t.groupBy(*keys, "_block").agg(*(F.sum(f"_v_{n}").alias(f"_b_{n}") for n in values))
+    named = [f"_k_{k}" for k in keys]
+    block = F.coalesce(F.floor(F.col(order) / block_rows), F.lit(-1)).alias("_block")  # rows without a position come first
+    # keys that are never null, so that sums, join and window are dealt out by the same expressions
+    t = rows.select("*", block, *(F.coalesce(F.concat(F.lit("v"), F.col(k).cast("string")), F.lit("n")).alias(n) for k, n in zip(keys, named, strict=True)), *(F.coalesce(v, F.lit(0)).alias(f"_v_{n}") for n, v in values.items()))
+    sums = t.groupBy(*named, "_block").agg(*(F.sum(f"_v_{n}").alias(f"_b_{n}") for n in values))
     if deep:
-        sums = running_sums(sums.withColumnRenamed("_block", "_outer"), keys, "_outer", {f"_p_{n}": F.col(f"_b_{n}") for n in values}, block_rows)
+        sums = running_sums(sums.withColumnRenamed("_block", "_outer"), named, "_outer", {f"_p_{n}": F.col(f"_b_{n}") for n in values}, block_rows).withColumnRenamed("_outer", "_block")
         earlier = {n: F.col(f"_p_{n}") for n in values}
     else:
-        sums = sums.withColumnRenamed("_block", "_outer")
-        blocks = Window.partitionBy(*keys).orderBy("_outer").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = Window.partitionBy(*named).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
         earlier = {n: F.coalesce(F.sum(f"_b_{n}").over(blocks), F.lit(0)) for n in values}
-    before = sums.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_outer").alias("_of"), *(v.alias(f"_b_{n}") for n, v in earlier.items()))
-    same = F.col("_block").eqNullSafe(F.col("_of"))
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    met = t.join(before, same)
-    return met.select(*rows.columns, *((F.col(f"_b_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0))).alias(n) for n in values))
+    before = sums.select(*named, "_block", *(v.alias(f"_b_{n}") for n, v in earlier.items()))
+    inside = Window.partitionBy(*named, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = t.select("*", *(F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(f"_i_{n}") for n in values))
+    return so_far.join(before, [*named, "_block"]).select(*rows.columns, *((F.col(f"_b_{n}") + F.col(f"_i_{n}")).alias(n) for n in values))
 
 
 def sure_cut(rows: DataFrame, by: str, ties: str, n: int, cells: int = 1 << 16) -> DataFrame:

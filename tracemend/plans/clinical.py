@@ -70,8 +70,7 @@ def clinical_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _pick = lambda values, by: "CASE " + by + " " + " ".join(f"WHEN {i} THEN " + ("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)) for i, v in enumerate(values)) + " END"
-_SUPER = {c: s for s, cs in clinical.SUPER_CATEGORIES.items() for c in cs.split("|")}
-_super = _pick([_SUPER.get(c, "OTHER_TREATMENT") for c in [*CATEGORIES, None]], "itemid")
+_super = _pick([clinical.SUPER_CATEGORIES.get(c, "OTHER_TREATMENT") for c in [*CATEGORIES, None]], "itemid")
 _BASE = f"""o AS (SELECT *, o_custkey AS hadm_id FROM orders), li AS (SELECT l.*, hadm_id FROM lineitem l JOIN o ON l_orderkey = o_orderkey WHERE hadm_id % 2 = 0 OR l_returnflag = 'N'),
 adm AS (SELECT hadm_id, min(o_orderdate) AS admittime, max(o_orderdate) + INTERVAL 30 DAY AS dischtime FROM o GROUP BY 1),
 chart AS (SELECT hadm_id, {_pick(ITEMS, "l_linenumber % 8")} AS itemid, l_shipdate + to_hours(l_orderkey % 24) AS t, l_quantity AS v FROM li WHERE hadm_id % 2 = 0),

@@ -44,7 +44,7 @@ def stream_case_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "stream")
     log = from_events(spark, sf_dir).select("seq", "case_id", "activity", F.col("ts").cast("timestamp").alias("ts"), "value")
     log.write.parquet(f"{folder}/in")
-    stream = cases.with_history(spark.readStream.schema(log.schema).parquet(f"{folder}/in"), 3, late_days=36_500)
+    stream = cases.with_history(spark.readStream.schema(log.schema).parquet(f"{folder}/in"), 3)
     run = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     out = spark.read.schema(stream.schema).parquet(f"{folder}/out")
