@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemend.functions import columns as C
 from tracemend.operators import clusters, cooccurrence, dfg, features, inject, metrics, prefixes, temporal
-from tracemend.plans import clinical, extras, feedback, models, repair, streams
+from tracemend.plans import clinical, extras, feedback, models, repair, streams, trained
 from tracemend.plans.oracles import ORACLES
 from tracemend.schema import from_events
 
@@ -290,7 +290,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cluster_pair_distance": lambda s, d: clusters.pair_distances(clusters.sufficient(points(s, d))),
     "two_latest_delta": lambda s, d: temporal.latest_change(log(s, d), "case_id", "ts", "value"),
     "ppmi_conversations": lambda s, d: cooccurrence.ppmi(cooccurrence.pair_counts(talk(s, d))),
-} | models.QUERIES | repair.QUERIES | clinical.QUERIES | extras.QUERIES | streams.QUERIES | feedback.QUERIES
+} | models.QUERIES | repair.QUERIES | clinical.QUERIES | extras.QUERIES | streams.QUERIES | feedback.QUERIES | trained.QUERIES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,4 +302,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in (ORACLES | repair.ORACLES | clinical.ORACLES | extras.ORACLES | streams.ORACLES | feedback.ORACLES).items() if k in QUERIES}
+    return {k: v for k, v in (ORACLES | repair.ORACLES | clinical.ORACLES | extras.ORACLES | streams.ORACLES | feedback.ORACLES | trained.ORACLES).items() if k in QUERIES}
