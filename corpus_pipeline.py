@@ -29,7 +29,8 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at the ranker's cut or above; it learns from all labels.
 
-    Null and empty texts are scored like others, repeated rows stay or go alike; an empty table gives an empty one.
+    Null and empty texts are scored like others, repeated rows stay or go alike, and so do rows with a null id, which have no
+    label; a score equal to the cut stays; an empty table gives an empty one.
     """
     labels = table(spark, sf_dir, "labels", "doc_id", "quality").select("doc_id", F.col("quality").alias("label"))
     model = quality.train(docs, labels)
@@ -68,14 +69,21 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item; texts without words stay."""
+    """Documents without a window of a benchmark item; texts without words, null and empty ones stay.
+
+    Repeated rows go or stay alike. Rows with a null id are not told apart by id and text, so they stay. An empty table or an
+    empty benchmark changes nothing.
+    """
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
     leaks = Scratch(spark, "leaks").keep(found.where(F.size("items") > 0).select("doc_id", "text_md5").distinct())
     return without(docs.select(*COLUMNS), leaks).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens; a null or empty text is its end token alone."""
+    """The pieces of all documents in sequences of 4096 tokens; a null or empty text is its end token alone.
+
+    Repeated rows are packed each; a null id stays null in its pieces; an empty table gives no piece.
+    """
     import public_tokenizers
 
     return packing.pack(docs, packing.library_encoder(public_tokenizers.path("word_bpe_49k.json")))

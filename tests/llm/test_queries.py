@@ -145,12 +145,13 @@ def slow_fingerprint(text: str) -> int:
     raw = text.encode().lower()
     h = [xxhash.xxh3_64_intdigest(w) for w in raw.split()]
     terms = [stir(x) for x in h] + [stir((a * up + b) & mask) for a, b in zip(h, h[1:], strict=False)]
-    if h and len(h) < 16:
-        terms += [stir(raw[k] + (raw[k + 1] << 8) + (raw[k + 2] << 16) + (raw[k + 3] << 24) + (1 << 40)) for k in range(len(raw) - 3)]
-    votes, count = [0.0] * 64, {t: terms.count(t) for t in set(terms)}
-    for t, n in count.items():
+    runs = [stir(raw[k] + (raw[k + 1] << 8) + (raw[k + 2] << 16) + (raw[k + 3] << 24) + (1 << 40)) for k in range(len(raw) - 3)] if h else []
+    votes, count = [0.0] * 64, {t: (terms.count(t), 1.0) for t in set(terms)}
+    if math.exp(-len(h) / 8) > 1e-12:
+        count |= {t: (runs.count(t), math.exp(-len(h) / 8)) for t in set(runs)}
+    for t, (n, part) in count.items():
         for b in range(64):
-            votes[b] += (1 + math.log2(n)) * (1 if t.to_bytes(8, "little")[b // 8] >> (7 - b % 8) & 1 else -1)
+            votes[b] += part * (1 + math.log2(n)) * (1 if t.to_bytes(8, "little")[b // 8] >> (7 - b % 8) & 1 else -1)
     return sum(1 << (63 - b) for b in range(64) if votes[b] > 1e-4)
 
 

@@ -136,8 +136,9 @@ def text_slices(ids: pa.Array, texts: pa.Array, most_bytes: int = 8 << 20) -> It
 def components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (id, component), component the smallest id reachable.
 
-    Alternating large-star and small-star steps; each round is written to the shared folder. Only ids with an edge
-    get rows. A node's neighbours are never collected: each step is an aggregation and an equi-join.
+    Alternating large-star and small-star steps; each round is written to the shared folder. Only ids with an edge to
+    another id get rows; edges with a null end, loops and repeated edges change nothing, and no edges give no rows. A node's
+    neighbours are never collected: each step is an aggregation and an equi-join.
     """
     cur = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None

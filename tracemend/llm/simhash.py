@@ -8,6 +8,7 @@ is keyed by them, permuted to the front.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,7 +21,8 @@ from tracemend.llm.common import Scratch, map_arrow, table, text_slices
 from tracemend.llm.minhash import WordHashes, mix
 
 BITS = 64
-FEW_WORDS = 16  #: texts of fewer words also vote with their runs of four characters
+FADE_WORDS = 8  #: runs of four bytes vote too, with a weight that falls by e for each so many words
+FADED = 2.0**-24  #: a weight beside which a word's is not changed in single precision
 
 
 class Fingerprinter:
@@ -35,17 +37,19 @@ class Fingerprinter:
             return bytes(8)
         h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
         with np.errstate(over="ignore"):
-            terms = [mix(h), mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])]
-            if len(words) < FEW_WORDS:
+            groups = [(np.concatenate([mix(h), mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])]), 1.0)]
+            if (fade := math.exp(-len(words) / FADE_WORDS)) >= FADED:
                 b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-                terms.append(mix(b[:-3] + (b[1:-2] << np.uint64(8)) + (b[2:-1] << np.uint64(16)) + (b[3:] << np.uint64(24)) + np.uint64(1 << 40)))
-        term, count = np.unique(np.concatenate(terms), return_counts=True)
-        weight = (1 + np.log2(count)).astype(np.float32)
-        votes = np.zeros(BITS, np.float32)
-        for at in range(0, len(term), 4096):
-            bits = np.unpackbits(term[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1)
-            votes += weight[at : at + 4096] @ bits
-        return np.packbits(votes * 2 > weight.sum()).tobytes()
+                groups.append((mix(b[:-3] + (b[1:-2] << np.uint64(8)) + (b[2:-1] << np.uint64(16)) + (b[3:] << np.uint64(24)) + np.uint64(1 << 40)), fade))
+        votes, total = np.zeros(BITS, np.float32), 0.0
+        for terms, part in groups:
+            term, count = np.unique(terms, return_counts=True)
+            weight = (part * (1 + np.log2(count))).astype(np.float32)
+            for at in range(0, len(term), 4096):
+                bits = np.unpackbits(term[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1)
+                votes += weight[at : at + 4096] @ bits
+            total += weight.sum()
+        return np.packbits(votes * 2 > total).tobytes()
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -153,7 +157,8 @@ def within_radius(queries: DataFrame, all_: DataFrame, radius: int = 3, blocks:
 def neighbours(queries: DataFrame, all_: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     """(bits, n_near): for each distinct fingerprint `bits` of queries, how many rows of `all_` lie within `radius` bits of it.
 
-    Only distinct fingerprints meet in the block tables, so a group of equal ones, however large, is one row there.
+    Only distinct fingerprints meet in the block tables, so a group of equal ones, however large, is one row there. Nulls
+    match nothing and have no row; repeated rows of `all_` each count.
     """
     sizes = all_.where("bits is not null").groupBy("bits").agg(F.count("*").alias("rows"))
     near = within_radius(queries.select(F.col("bits").alias("fingerprint")), sizes.select(F.col("bits").alias("fingerprint")), radius, blocks)
