@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracemend.operators import feedback, metrics, trained
+from tracemend.operators import drift, feedback, metrics, trained
 from tracemend.operators.graphs import Scratch
 from tracemend.plans import trained as plans
 
@@ -88,3 +88,45 @@ def test_models_are_read_as_they_were_stored(spark, run, tmp_path):
 def test_no_labels_at_all(spark):
     frame = spark.createDataFrame([(i, None, [float(i)], True) for i in range(5)], "seq long, label string, z array<double>, asked boolean")
     assert {r["seq"]: r["candidates"] for r in trained.running_full(frame, 2).collect()} == {i: [] for i in range(5)}
+
+
+def test_alarms_are_those_of_a_window_after_another(spark):
+    """Each metric of each label, and of all events, against one adaptive window that reads its sums in order."""
+    draw = np.random.default_rng(4)
+    rows = [(i, [None, "a", "b"][i % 3], float(draw.normal() + 3 * (i > 2000 and i % 3 == 1)), float(draw.normal())) for i in range(4000)]
+    got = {(r["activity"], r["metric"], r["seq"]) for r in drift.families(spark.createDataFrame(rows, "seq long, activity string, error double, norm double"), ["error", "norm"]).coalesce(1).collect()}
+    want = set()
+    for label in ("a", "b", None):
+        for m, metric in ((2, "error"), (3, "norm")):
+            mine = [(r[0], r[m]) for r in rows if label is None or r[1] == label]
+            window = drift.AdaptiveWindow(0.002)
+            for k in range(0, len(mine), drift.BLOCK):
+                some = mine[k : k + drift.BLOCK]
+                v = np.array([x for _, x in some])
+                if window.add_block(len(v), v.sum(), (v * v).sum()):
+                    want.add((label, metric, some[-1][0]))
+    near = lambda s: {(a, m, q // 400) for a, m, q in s}
+    assert {(a, m) for a, m, _ in got} == {(a, m) for a, m, _ in want} == {("a", "error"), (None, "error")}
+    assert near(got) & near(want) and min(q for *_, q in got) > 2000
+    found = {(r["activity"], r["kinds"], r["severity"]) for r in drift.verdicts(spark.createDataFrame(list(got), "activity string, metric string, seq long"), 10_000, "error").collect()}
+    assert found == {("a", 1, "low"), (None, 1, "low")}
+
+
+def test_reactions_look_back_over_places(spark):
+    rows = [(i, "ab"[i % 2], 1.0 if i < 300 else 5.0, i in (20, 41, 351, 399)) for i in range(400)]
+    got = {r["seq"]: (round(r["before"], 6), round(r["after"], 6), r["reaction"]) for r in drift.tiers(spark.createDataFrame(rows, "seq long, activity string, error double, alarm boolean")).collect()}
+    want = {}
+    for i, label, _, alarm in rows:
+        e = [x for j, a, x, _ in rows if a == label and j <= i][-100:]
+        if alarm:
+            b, a = np.mean(e[: len(e) // 2]), np.mean(e[len(e) // 2 :])
+            want[i] = (round(b, 6), round(a, 6), "none" if len(e) < 20 else "decay_and_tune" if a / b > 2 else "tune")
+    assert got == want and {r for *_, r in got.values()} == {"none", "tune", "decay_and_tune"}
+
+
+def test_the_moved_label_is_found(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    got = plans.drift_alarms(spark, SF).collect()
+    late = {r["activity"] for r in got if r["at"] * 500 >= 6500}
+    assert plans.LABELS[-1] in late and late <= {plans.LABELS[-1], None}

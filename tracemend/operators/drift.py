@@ -11,9 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemend.operators.running import running_sums
+
 
 BLOCK = 32  #: rows that are summed before the detector sees them
 
@@ -196,11 +198,37 @@ def tiers(rows: DataFrame, keep: int = 100, enough: int = 20, delta: float = 2.0
 
     rows: seq, activity, error, alarm. Of the label's last `keep` errors up to the alarm, before and after are the means of
     the older and the newer half; with fewer than `enough` nothing is done, else the model is tuned, and the label's cluster
-    is decayed first where errors grew by more than `delta`.
+    is decayed first where errors grew by more than `delta`. An event's place within its label is counted in blocks, and only
+    alarms ask for the places before theirs, so no task holds a label.
     """
-    w = Window.partitionBy("activity").orderBy("seq").rowsBetween(-(keep - 1), 0)
-    t = rows.withColumn("_e", F.collect_list("error").over(w)).where("alarm").withColumn("_mid", F.floor(F.size("_e") / 2).cast("int"))
+    placed = running_sums(rows.select("seq", "activity", F.col("error").cast("double").alias("error"), "alarm"), ["activity"], "seq", {"_place": F.lit(1)})
+    asks = placed.where("alarm").select("activity", F.col("seq").alias("_at"), F.col("_place").alias("_to"))
+    asks = asks.select("activity", "_at", F.explode(F.sequence(F.greatest(F.col("_to") - (keep - 1), F.lit(0)), "_to")).alias("_place"))
+    met = asks.join(placed.select("activity", "_place", "error"), ["activity", "_place"])
+    found = met.groupBy("activity", "_at").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "error"))), lambda x: x["error"]).alias("_e"))  # `keep` errors
+    t = found.withColumn("_e", F.filter("_e", lambda v: v.isNotNull())).withColumn("_mid", F.floor(F.size("_e") / 2).cast("int"))
     mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda x, v: x + v), F.size(a))
     t = t.withColumns({"before": mean(F.slice("_e", F.lit(1), F.col("_mid"))), "after": mean(F.slice("_e", F.col("_mid") + 1, F.size("_e") - F.col("_mid")))})
     act = F.when(F.size("_e") < enough, "none").when((F.col("before") > 0) & (F.try_divide("after", "before") > delta), "decay_and_tune").otherwise("tune")
-    return t.select("seq", "activity", "before", "after", act.alias("reaction"))
+    return t.select(F.col("_at").alias("seq"), "activity", "before", "after", act.alias("reaction"))
+
+
+def families(rows: DataFrame, metrics: list[str], delta: float = 0.002) -> DataFrame:
+    """(activity, metric, seq, window, mean): where a metric's mean changed among the events of a label, and, with a null activity, among all events.
+
+    rows: seq, activity, and a column for each metric. Events without a label count for all only.
+    """
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))).alias("p")
+    long = rows.select("seq", "activity", pairs).select("seq", "activity", "p.metric", "p.v")
+    key = lambda label: F.to_json(F.struct(F.col("metric").alias("m"), label.alias("a")))
+    own = long.where("activity is not null").select("seq", key(F.col("activity")).alias("k"), "v")
+    both = own.unionByName(long.select("seq", key(F.lit(None).cast("string")).alias("k"), "v"))
+    k = F.from_json("k", "m string, a string")
+    return detect(both, "k", "seq", "v", delta).select(k["a"].alias("activity"), k["m"].alias("metric"), "seq", "window", "mean")
+
+
+def verdicts(alarms: DataFrame, every: int, reconstruction: str) -> DataFrame:
+    """(activity, at, kinds, severity, recommendation) of each label, and each stretch of `every` positions, in which some of its metrics changed."""
+    t = alarms.groupBy("activity", F.floor(F.col("seq") / every).alias("at")).agg(F.countDistinct("metric").alias("kinds"), F.max(F.col("metric") == reconstruction).alias("_rec"))
+    own = severity(F.col("kinds"))
+    return t.select("activity", "at", "kinds", own.alias("severity"), recommendation(F.col("kinds") > 0, own, F.col("_rec")).alias("recommendation"))

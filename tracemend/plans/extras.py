@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemend.functions import columns as C
@@ -80,8 +80,8 @@ SELECT seq, {", ".join(f"round(CASE WHEN count(*) OVER w < 2 THEN 0 ELSE (x{i} -
 
 
 def label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = payload.label_vector(F.col("activity"), 3)
-    return log(spark, sf_dir).where("activity is not null").select("activity").distinct().select("activity", *(F.round(F.get(v, F.lit(i)), 6).alias(f"v{i}") for i in range(3)))
+    v = payload.label_vector(F.col("activity"), 8)
+    return log(spark, sf_dir).where("activity is not null").select("activity").distinct().select("activity", *(F.round(F.get(v, F.lit(i)), 6).alias(f"v{i}") for i in range(8)))
 
 
 def sensor_vector_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,16 +202,22 @@ def drift_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drift_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All combinations of fired signals: severities, combination rules, recommendations, whether to retrain."""
-    t = log(spark, sf_dir).where(F.col("seq") < 64)  # six signals: 64 combinations
-    bit = lambda i: F.shiftright("seq", i).bitwiseAND(1) == 1
-    rec, norm, var, dist, emb, other = (bit(i) for i in range(6))
+    """For each label and stretch of 100 positions: which of its figures moved away from the stretch before, severities, combination rules, recommendations, whether to retrain."""
+    t = log(spark, sf_dir).where("activity is not null").groupBy("activity", F.floor(F.col("seq") / 100).alias("at")).agg(
+        F.count("*").alias("n"), F.avg(F.abs(F.col("value") - 100)).alias("error"), F.avg("value").alias("mean"), F.var_pop("value").alias("spread"), F.avg(F.hour("ts")).alias("hour"),
+    )
+    t = t.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("at")))  # a row for each label and stretch
+    before = lambda c: F.lag(c).over(Window.partitionBy("activity").orderBy("at"))
+    moved = lambda c, by: F.coalesce(F.abs(F.col(c) - before(c)) > by, F.lit(False))
+    fired = {"rec": moved("error", 0.15 * before("error")), "norm": moved("mean", 0.1 * before("mean")), "var": moved("spread", 0.3 * before("spread")), "dist": moved("share", F.lit(0.06)), "emb": moved("hour", F.lit(1.5)), "other": moved("n", F.lit(6))}
+    t = t.select("activity", "at", *(v.alias(k) for k, v in fired.items()))
+    rec, norm, var, dist, emb, other = (F.col(c) for c in fired)
     kinds = sum((x.cast("int") for x in (rec, norm, var, dist)), F.lit(0))
     own = drift.severity(kinds)
     both = drift.averaged_severity(emb, F.lit(0.5), own)
     any_ = drift.combined({"e": emb, "a": kinds >= 1}, "any")
     return t.select(
-        "seq", own.alias("own"), both.alias("averaged"), *(drift.combined({"e": emb, "a": kinds >= 1, "o": other}, r).alias(r) for r in ("any", "all", "majority")),
+        "activity", "at", own.alias("own"), both.alias("averaged"), *(drift.combined({"e": emb, "a": kinds >= 1, "o": other}, r).alias(r) for r in ("any", "all", "majority")),
         drift.recommendation(kinds >= 1, own, rec).alias("single"), drift.combined_recommendation(any_, both, emb.cast("int") + kinds, rec).alias("combined"),
         drift.retrain((own == "high").cast("int"), (own == "medium").cast("int"), kinds, rec.cast("int"), emb.cast("int"), kinds).alias("retrain"),
     )
@@ -338,7 +344,9 @@ QUERIES = {
 }
 
 _LOG_BACK = f"""WITH {LOG} SELECT seq, case_id, activity, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"""
-_DRIFT = """b AS (SELECT event_id AS seq, event_id % 2 = 1 AS rec, (event_id // 2) % 2 = 1 AS norm, (event_id // 4) % 2 = 1 AS var, (event_id // 8) % 2 = 1 AS dist, (event_id // 16) % 2 = 1 AS emb, (event_id // 32) % 2 = 1 AS other FROM events WHERE event_id < 64),
+_DRIFT = f"""{LOG}, g AS (SELECT activity, seq // 100 AS "at", count(*) AS n, avg(abs(value - 100)) AS error, avg(value) AS mean, var_pop(value) AS spread, avg(hour(ts)) AS hour FROM log WHERE activity IS NOT NULL GROUP BY 1, 2),
+h AS (SELECT *, n / sum(n) OVER (PARTITION BY "at") AS share FROM g), b AS (SELECT activity, "at", coalesce(abs(error - lag(error) OVER w) > 0.15::DOUBLE * lag(error) OVER w, false) AS rec, coalesce(abs(mean - lag(mean) OVER w) > 0.1::DOUBLE * lag(mean) OVER w, false) AS norm,
+  coalesce(abs(spread - lag(spread) OVER w) > 0.3::DOUBLE * lag(spread) OVER w, false) AS var, coalesce(abs(share - lag(share) OVER w) > 0.06::DOUBLE, false) AS dist, coalesce(abs(hour - lag(hour) OVER w) > 1.5::DOUBLE, false) AS emb, coalesce(abs(n - lag(n) OVER w) > 6, false) AS other FROM h WINDOW w AS (PARTITION BY activity ORDER BY "at")),
 k AS (SELECT *, rec::INT + norm::INT + var::INT + dist::INT AS kinds FROM b), o AS (SELECT *, CASE WHEN kinds >= 3 THEN 'high' WHEN kinds = 2 THEN 'medium' WHEN kinds = 1 THEN 'low' ELSE 'none' END AS own, [0.0, 0.3, 0.6, 0.9, 0.9][kinds + 1]::DOUBLE AS w FROM k),
 m AS (SELECT *, CASE WHEN emb THEN (0.5::DOUBLE + w) / 2 ELSE w END AS mean FROM o), s AS (SELECT *, CASE WHEN mean < 0.3 THEN 'low' WHEN mean < 0.6 THEN 'medium' ELSE 'high' END AS averaged, emb OR kinds >= 1 AS hit FROM m)"""
 
@@ -346,7 +354,7 @@ ORACLES = {
     "common_attribute_keys": f"WITH {_ATTR} SELECT key, count(*) AS n FROM there GROUP BY 1 ORDER BY n DESC, key LIMIT 3",
     "attribute_key_slots": f"WITH {_ATTR}, f AS (SELECT key, min(seq) AS first FROM there GROUP BY 1) SELECT key, CAST(row_number() OVER (ORDER BY first, key) - 1 AS INTEGER) AS slot FROM f ORDER BY first, key LIMIT 4",
     "payload_vectors": _PAYLOAD, "enriched_features": _ENRICHED,
-    "label_vectors": f"""WITH {LOG} SELECT DISTINCT activity, {", ".join(f"round(CAST('0x' || substr(md5(activity || ':{i}'), 1, 8) AS BIGINT) / 4294967295.0::DOUBLE * 2 - 1, 6) AS v{i}" for i in range(3))} FROM log WHERE activity IS NOT NULL""",
+    "label_vectors": f"""WITH {LOG} SELECT DISTINCT activity, {", ".join(f"round(CAST('0x' || substr(md5(activity || ':{i}'), 1, 8) AS BIGINT) / 4294967295.0::DOUBLE * 2 - 1, 6) AS v{i}" for i in range(8))} FROM log WHERE activity IS NOT NULL""",
     "sensor_vector_names": f"""WITH {LOG}, s AS (SELECT DISTINCT activity FROM log WHERE activity IS NOT NULL), k AS (SELECT unnest(['val', 'pres', 'mean', 'std', 'slope', 'delta']) AS kind, unnest(range(0, 6)) AS o)
 SELECT CAST(row_number() OVER (ORDER BY o, activity) - 1 AS INTEGER) AS cell, 'iot_' || kind || '_' || activity AS name FROM k, s""",
     "top_recovered_labels": f"WITH {REPAIRED} SELECT recovered AS activity, count(*) AS n FROM repaired WHERE activity IS NULL AND recovered IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3",
@@ -369,7 +377,7 @@ x AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, tp / n AS q FROM r) S
 SELECT label, CAST(i AS INTEGER) AS i, count(*) AS cells, round(sum(covariance), 6) AS total, round(max(covariance), 6) AS most FROM c GROUP BY 1, 2""",
     "drift_signals": """WITH v AS (SELECT label, vec_id // 200 AS "at", list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) AS q, list_sum(CAST(embedding AS DOUBLE[])) AS s, len(embedding) AS d FROM embeddings WHERE label IS NOT NULL)
 SELECT label, "at", round(round(avg(sqrt(q)), 6), 4) AS norm, round(round(sum(q) / sum(d) - (sum(s) / sum(d)) ** 2, 6), 4) AS variance FROM v GROUP BY 1, 2""",
-    "drift_verdicts": f"""WITH {_DRIFT} SELECT seq, own, averaged, emb OR kinds >= 1 OR other AS "any", emb AND kinds >= 1 AND other AS "all", (emb::INT + (kinds >= 1)::INT + other::INT) * 2 > 3 AS majority,
+    "drift_verdicts": f"""WITH {_DRIFT} SELECT activity, "at", own, averaged, emb OR kinds >= 1 OR other AS "any", emb AND kinds >= 1 AND other AS "all", (emb::INT + (kinds >= 1)::INT + other::INT) * 2 > 3 AS majority,
 CASE WHEN kinds = 0 THEN 'continue_monitoring' WHEN own = 'high' THEN 'immediate_retraining_recommended' WHEN own = 'medium' AND rec THEN 'schedule_retraining' WHEN own = 'medium' THEN 'increase_monitoring' ELSE 'monitor_closely' END AS single,
 CASE WHEN NOT hit THEN 'continue_monitoring' WHEN averaged = 'high' OR emb::INT + kinds >= 3 THEN 'immediate_retraining' WHEN averaged = 'medium' AND rec THEN 'schedule_retraining' WHEN averaged = 'low' THEN 'increase_monitoring' ELSE 'monitor_closely' END AS combined,
 own = 'high' OR kinds >= 3 AS retrain FROM s""",

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemend.operators import cache, trained
+from tracemend.operators import autoencoder, cache, drift, trained
 from tracemend.operators.cascade import Gates
 from tracemend.operators.graphs import Scratch
 from tracemend.plans.models import _folder
@@ -57,7 +57,41 @@ def causal_full_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("seq", near["label"].alias("label"), near["n"].alias("n"), F.round(near["d"], 4).alias("d"))
 
 
-QUERIES = {f.__name__: f for f in (cascade_trained, causal_full_mahalanobis)}
+METRICS = ["error", "norm", "variance"]
+
+
+def coded_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ring's events as a coder of the first fifth sees them: reconstruction error, length and variance of the latents. In the last third the readings of one label move."""
+    scratch = Scratch(spark, "coded")
+    log = scratch.keep(ring_log(spark, sf_dir))
+    lo, hi = log.agg(F.min("seq"), F.max("seq")).first()
+    moved = (F.col("seq") > hi - (hi - lo) / 3) & (F.col("truth") == LABELS[-1])
+    log = log.withColumn("x", F.when(moved, F.transform("x", lambda v: v + 1.5)).otherwise(F.col("x")))
+    model = autoencoder.train(log.where(F.col("seq") < lo + (hi - lo) / 5).select("x"), latent=8, hidden=32, epochs=20)
+    z = autoencoder.encode(log.select("seq", "activity", "x"), model)
+    add = lambda f: F.aggregate("z", F.lit(0.0), lambda a, v: a + f(v))
+    square, mean = add(lambda v: v * v), add(lambda v: v) / F.size("z")
+    return scratch.keep(z.select("seq", "activity", "error", F.sqrt(square).alias("norm"), (square / F.size("z") - mean * mean).alias("variance")))
+
+
+def drift_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of 500 events in which metrics of a label, or of all events (null), changed, with severity and recommendation."""
+    return drift.verdicts(drift.families(coded_log(spark, sf_dir), METRICS), 500, "error")
+
+
+def drift_reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At each change of a label's reconstruction errors: its older and newer errors, and whether its cluster decays before the model is tuned; changes over all events where no label changed in the same block tune and reset."""
+    t = coded_log(spark, sf_dir)
+    alarms = Scratch(spark, "alarms").keep(drift.families(t, ["error"]).select("seq", "activity"))
+    own = alarms.where("activity is not null").withColumn("alarm", F.lit(True)).distinct()
+    known = t.where("activity is not null").select("seq", "activity", "error").join(own, ["seq", "activity"], "left").withColumn("alarm", F.coalesce("alarm", F.lit(False)))
+    stretch = F.floor(F.col("seq") / drift.BLOCK)
+    alone = alarms.where("activity is null").join(own.select(stretch.alias("s")).distinct(), stretch == F.col("s"), "left_anti")
+    overall = alone.select("seq", F.lit(None).cast("string").alias("activity"), F.lit(None).cast("double").alias("before"), F.lit(None).cast("double").alias("after"), F.lit("tune_and_reset").alias("reaction"))
+    return drift.tiers(known).unionByName(overall)
+
+
+QUERIES = {f.__name__: f for f in (cascade_trained, causal_full_mahalanobis, drift_alarms, drift_reactions)}
 
 _SUMS = ", ".join(
     f"coalesce(count(*) FILTER (activity = '{a}') OVER w, 0) AS n{i}, " + ", ".join(f"coalesce(sum({v}) FILTER (activity = '{a}') OVER w, 0) AS {n}{i}" for n, v in {"sx": "x", "sy": "y", "qxx": "x * x", "qxy": "x * y", "qyy": "y * y"}.items())
