@@ -51,7 +51,24 @@ def stream_case_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq", "case_id", "prefix", "provenances", "so_far", "labels", F.round("age", 4).alias("age"), F.round("mean", 4).alias("mean"), F.round("deviation", 3).alias("deviation"))
 
 
-QUERIES = {f.__name__: f for f in (stream_graph, stream_clusters, stream_cluster_distances, stream_case_history)}
+def stream_xes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A growing folder of XES logs as a stream: half of the cases' files land, and are read, before the other half; events without a label are left out on the way."""
+    from tracemend.sources import xes
+
+    folder = _folder(spark, "xes")
+    k = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"))
+    log = from_events(spark, sf_dir).select("seq", "case_id", "activity", "ts", F.lit("complete").alias("lifecycle"), F.lit(None).cast("string").alias("resource"), k.alias("attributes"), F.create_map(F.lit("meter/value"), F.col("value").cast("string")).alias("sensors_raw"))
+    half = F.pmod(F.xxhash64("case_id"), F.lit(2))
+    events = None
+    for part in (0, 1):
+        xes.write_xml(log.where(half == part), f"{folder}/in/{part}")
+        events = xes.read_xml(spark, f"{folder}/in", streaming=True, files_a_batch=3).where("activity is not null")
+        events = events.select("case_id", "pos", "activity", F.try_element_at("attributes", F.lit("k")).alias("k"), F.try_element_at("sensors", F.lit("meter/value")).alias("value"))
+        events.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{folder}/out").withColumn("pos", F.col("pos").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (stream_xes, stream_graph, stream_clusters, stream_cluster_distances, stream_case_history)}
 
 # a batch is numbered by which of the equal stretches of seq an event lies in
 _BATCHES = f"""span AS (SELECT min(event_id) AS lo, max(event_id) - min(event_id) + 1 AS n, greatest({LEAST_PIECES}, CAST(ceil(count(*) / 250000.0) AS BIGINT)) AS pieces FROM events), cuts AS (SELECT unnest([lo + n * i // pieces FOR i IN range(1, pieces)]) AS cut FROM span)"""
@@ -60,6 +77,7 @@ _Z = f"""{LOG}, {_BATCHES}, feats AS (SELECT seq, activity, {_N} AS batch, [hour
 cells AS (SELECT seq, activity, batch, unnest(range(0, {DIMS})) AS i, unnest(z) AS v FROM feats)"""
 
 ORACLES = {
+    "stream_xes": f"WITH {LOG}, p AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) - 1 AS pos FROM log) SELECT case_id, pos, activity, json_extract_string(props, '$.k') AS k, value FROM p WHERE activity IS NOT NULL",
     "stream_repair_snapshot": f"""WITH {LOG}, {_prefixed(2)}, {_BATCHES}, b AS (SELECT *, {_N} AS batch FROM prefixed),
 seen AS (SELECT a.seq, p.activity AS next, count(*) AS n FROM b a JOIN b p ON a.prefix = p.prefix AND p.batch < a.batch AND p.activity IS NOT NULL WHERE a.activity IS NULL GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY n DESC, next DESC) AS k, sum(n) OVER (PARTITION BY seq) AS total FROM seen), best AS (SELECT * FROM r WHERE k = 1)

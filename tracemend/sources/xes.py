@@ -47,12 +47,14 @@ def points(lists: Column) -> Column:
     return F.map_from_entries(F.aggregate(readings, F.array().cast("array<struct<key:string,value:string>>"), lambda a, p: F.concat(F.filter(a, lambda q: q["key"] != p["key"]), F.array(p))))
 
 
-def read_xml(spark: SparkSession, path: str | list[str], streaming: bool = False) -> DataFrame:
+def read_xml(spark: SparkSession, path: str | list[str], streaming: bool = False, files_a_batch: int | None = None) -> DataFrame:
     """Events of XES files under a path in the event-log model; seq is null until ordered() gives one.
 
-    The trace's own concept:name is the case; the `subprocess` field is the same. Timestamps lose their zone.
+    The trace's own concept:name is the case; the `subprocess` field is the same. Timestamps lose their zone. A stream takes
+    files as they come, `files_a_batch` of them at a time.
     """
     reader = (spark.readStream if streaming else spark.read).format("xml").option("rowTag", "trace").option("recursiveFileLookup", True).schema(TRACE)
+    reader = reader.option("maxFilesPerTrigger", files_a_batch) if streaming and files_a_batch else reader
     traces = reader.load(path).select(keyed(F.struct(*_KINDS)).alias("trace"), F.posexplode("event").alias("pos", "e"), F.col("_metadata.file_path").alias("file_path"))
     t = traces.select("trace", "pos", "file_path", keyed(F.col("e")).alias("a"), points(F.col("e.list")).alias("raw"))
     at = lambda m, k: F.try_element_at(m, F.lit(k))
