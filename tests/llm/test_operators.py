@@ -439,3 +439,24 @@ def test_templates():
     with pytest.raises(chat.TemplateError):
         run("{{ x.__class__ }}", x="text")
     assert [p for p in chat.compile_template("{% generation %}{{ x }}{% endgeneration %}!")({"x": "y"})] == [("y", True), ("!", False)]
+
+
+def test_proofs_come_from_the_files():
+    """A model or tokenizer that says otherwise in its file is read the long way."""
+    import json
+
+    from tracemend.llm.packing import reads_plainly
+    from tracemend.llm.token_counts import separable, wire_fields
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        raw = f.read()
+    assert separable(raw) and token_counts.prove(public_tokenizers.path("piece_bpe_32k.model"))[1]
+    field = lambda n, v: bytes([n << 3 | 2, len(v)]) + v
+    assert not separable(raw + field(1, field(1, b"piece") + b"\x18\x04"))  # a piece of the user's
+    assert not separable(raw + field(3, b"\x18\x01\x20\x01")) and not separable(raw + field(3, field(2, b"map") + b"\x20\x00")) and not separable(raw + field(2, b"\x18\x01"))
+    assert list(wire_fields(field(5, b"ab") + b"\x08\xac\x02")) == [(5, b"ab"), (1, 300)]
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        said = json.load(f)
+    assert reads_plainly(said) and packing.WordIds(public_tokenizers.path("word_bpe_49k.json")).direct
+    for key, value in (("normalizer", {"type": "Sequence", "normalizers": [{"type": "Lowercase"}]}), ("pre_tokenizer", None), ("post_processor", {"type": "ByteLevel"}), ("added_tokens", [{"content": "and"}])):
+        assert not reads_plainly(said | {key: value})
