@@ -39,6 +39,8 @@ def text(source, gone=frozenset()):
         ("<article><p>a <button>never closed</p><p>b</p></article>", "a\nb"),
         ("<HTML><BODY><ARTICLE><P>a</P></ARTICLE></BODY></HTML>", "a"),
         ("<article></article><p>out</p>", ""),
+        ("<form id=all><nav>n</nav><main><p>a</p><form>name</form></main></form>", "a"),
+        ("<div class=cookiebar>c</div><p>a <ins class=adsbygoogle>buy</ins>b</p><div class='advertBox'>c</div>", "a b"),
         ("<title>t</title><noscript>on!</noscript><p>a", "a"),
         ("<div><p>a</div></section>b", "a\nb"),
         ("a < b <3 <p>c", "a < b <3\nc"),

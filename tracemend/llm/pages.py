@@ -45,6 +45,7 @@ NAMES = set(
     "aside complementary contentinfo footer masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert alertdialog disclaimer popup modal newsletter subscribe subscription signup login search "
     "searchbox share sharing social comment comments commentlist respond replies disqus related recommended widget widgets copyright".split()
 )
+BEGINS = ("adsby", "advert", "cookie", "newsletter", "sidebar", "sponsor")  #: and words that begin so
 PROSE = set("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr figcaption caption tbody thead tfoot".split())  #: in an article, no template
 
 _tag = re.compile(
@@ -76,6 +77,10 @@ def words_of(rest: str) -> frozenset:
     return frozenset(w.lower() for v in _attribute.findall(rest) for w in _word.findall(html.unescape("".join(v))))
 
 
+def no_article(names: frozenset) -> bool:
+    return bool(names & NAMES) or any(w.startswith(BEGINS) for w in names)
+
+
 class Reader:
     """Builds a Page; unclosed and stray tags are taken much as browsers take them, elements within a line leave their text only."""
 
@@ -149,7 +154,7 @@ class Reader:
                     self.begin(tag, rest)
                 elif tag == "br":
                     self.text.append(" ")
-                elif tag not in VOID and not rest.endswith("/") and (tag in SKIPPED or words_of(rest) & NAMES):
+                elif tag not in VOID and not rest.endswith("/") and (tag in SKIPPED or no_article(words_of(rest))):
                     skipped.append(tag)
             elif m["end"]:
                 tag = m["end"].lower()
@@ -222,10 +227,10 @@ def roots_of(page: Page, gone: set[int] = frozenset(), prints: list[int] | None
         p, tag, own = parents[e], tags[e], names[e]
         if p >= 0 and other[p]:
             other[e] = True
-        elif tag in NO_ARTICLE or (tag == "article" and outer[e]) or (tag == "header" and not outer[e] and not held[e]):
+        elif (tag in NO_ARTICLE and not (tag == "form" and held[e])) or (tag == "article" and outer[e]) or (tag == "header" and not outer[e] and not held[e]):
             other[e] = True
         elif tag not in ("html", "body", "main") and e != first and not held[e]:
-            other[e] = bool(own & NAMES) or (not outer[e] and "header" in own)
+            other[e] = no_article(own) or (not outer[e] and "header" in own)
         if prints is not None and prints[e] in gone:
             other[e] = True
     for kind in ("article", "main", ""):
