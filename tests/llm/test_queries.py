@@ -34,6 +34,7 @@ def folder(spark, tmp_path_factory):
         "labels": spark.createDataFrame([(i, int(bool(t) and "!?" not in t), int(i % 3 == 0)) for i, t, *_ in docs], "doc_id long, quality int, toxic int"),
         "benchmark": spark.createDataFrame([(1, leak), (2, texts[5]), (3, None), (4, "a")], "item_id long, text string"),
         "conversations": spark.createDataFrame(talk, "conv_id long, turn long, role string, text string"),
+        "pages": spark.createDataFrame([(1, "http://a.example.org/", "<nav>n</nav><article><h1>T &amp; t</h1><p><b>x<br><p>y</article>"), (2, None, None), (3, "u", "")], "page_id long, url string, html string"),
     }
     for name, t in tables.items():
         t.coalesce(2).write.parquet(f"{path}/{name}.parquet")
