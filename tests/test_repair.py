@@ -176,6 +176,16 @@ def test_clinical_details(spark):
     assert len(clinical.mapping_table(spark).collect()) == 83
 
 
+def test_a_repeated_reading_is_no_change(spark):
+    """Two readings of one time and value: the change is from the one before both."""
+    t = lambda h: datetime(2024, 1, 1, h)
+    starts = spark.createDataFrame([(1, t(9), "s")], "key long, ts timestamp, name string")
+    for values in ([5.0, 7.0, 7.0], [5.0, 7.0, 7.0, 7.0]):
+        seen = spark.createDataFrame([(1, t(5 + (v > 5)), 50912, v) for v in values], "key long, ts timestamp, itemid long, value double")
+        got = clinical.seen_before(starts, seen, {50912: "Creatinine"}, 24, ("lab_state", "lab_delta")).first()["snapshot"]
+        assert got == {"lab_state/Creatinine": 7.0, "lab_delta/Creatinine": 2.0}
+
+
 def test_sensor_names():
     assert payload.sensor_names(["t", "p"])[:3] == ["iot_val_p", "iot_val_t", "iot_pres_p"] and len(payload.sensor_names(["t", "p"])) == 12
 
