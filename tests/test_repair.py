@@ -186,6 +186,14 @@ def test_a_repeated_reading_is_no_change(spark):
         assert got == {"lab_state/Creatinine": 7.0, "lab_delta/Creatinine": 2.0}
 
 
+def test_rounding_as_sql(spark):
+    """1.22575 lies under the half, as a binary number times 10000 shows."""
+    from tracemend.functions import columns as C
+
+    t = spark.createDataFrame([(1.22575,), (-1.22575,), (0.5,), (None,)], "d double")
+    assert [r[0] for r in t.select(C.rounded(F.col("d"), 4)).collect()] == [1.2257, -1.2257, 0.5, None]
+
+
 def test_sensor_names():
     assert payload.sensor_names(["t", "p"])[:3] == ["iot_val_p", "iot_val_t", "iot_pres_p"] and len(payload.sensor_names(["t", "p"])) == 12
 

@@ -26,6 +26,11 @@ def number(c: Column) -> Column:
     return c.try_cast("double")
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double at so many digits as SQL engines on binary numbers round: the scaled double, halves away from zero. F.round takes the shortest decimal text instead."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def naive_timestamp(c: Column) -> Column:
     """A timestamp without zone: an offset or Z is dropped, not applied."""
     bare = F.regexp_replace(F.trim(c), r"(Z|[+-]\d{2}:?\d{2})$", "")

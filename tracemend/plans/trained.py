@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracemend.functions import columns as C
 from tracemend.operators import autoencoder, cache, drift, trained
 from tracemend.operators.cascade import Gates
 from tracemend.operators.graphs import Scratch
@@ -53,8 +54,8 @@ def causal_full_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = from_events(spark, sf_dir)
     z = F.array(F.hour("ts") / 24.0, F.coalesce("value", F.lit(0.0)) / 100.0)
     found = trained.running_full(t.select("seq", F.col("activity").alias("label"), z.alias("z"), F.col("activity").isNull().alias("asked")), least=20)
-    near = F.array_min(F.transform(F.filter("candidates", lambda c: c["d"].isNotNull()), lambda c: F.struct(F.round(c["d"], 6).alias("d"), c["label"].alias("label"), c["n"].alias("n"))))
-    return found.select("seq", near["label"].alias("label"), near["n"].alias("n"), F.round(near["d"], 4).alias("d"))
+    near = F.array_min(F.transform(F.filter("candidates", lambda c: c["d"].isNotNull()), lambda c: F.struct(C.rounded(c["d"], 6).alias("d"), c["label"].alias("label"), c["n"].alias("n"))))
+    return found.select("seq", near["label"].alias("label"), near["n"].alias("n"), C.rounded(near["d"], 4).alias("d"))
 
 
 METRICS = ["error", "norm", "variance"]
