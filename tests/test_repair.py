@@ -194,6 +194,20 @@ def test_rounding_as_sql(spark):
     assert [r[0] for r in t.select(C.rounded(F.col("d"), 4)).collect()] == [1.2257, -1.2257, 0.5, None]
 
 
+def test_yaml_is_parsed_once(spark, tmp_path):
+    """Each document once, whatever reads the log; events before any trace of their block belong to the trace of the blocks before."""
+    events = "".join(f'---\nevent:\n  "concept:name": "e{i}"\n  "time:timestamp": "2024-01-01T00:00:{i % 60:02d}"\n' for i in range(300))
+    (tmp_path / "a.xes.yaml").write_text('---\nlog:\n  trace:\n    "concept:name": "one"\n' + events + '---\nlog:\n  trace:\n    "concept:name": "two"\n' + events[:1000].rpartition("---")[0])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        log = xes.read_yaml(spark, f"file://{tmp_path}/a.xes.yaml")
+        assert log.groupBy("case_id").count().orderBy("case_id").collect()[0][:] == ("one", 300)
+        (tmp_path / "a.xes.yaml").unlink()  # what is asked for now comes from what was stored
+        assert sorted(r["activity"] for r in rows(log.where("case_id = 'one'"))) == sorted(f"e{i}" for i in range(300)) and log.where("case_id = 'two'").count() > 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_sensor_names():
     assert payload.sensor_names(["t", "p"])[:3] == ["iot_val_p", "iot_val_t", "iot_pres_p"] and len(payload.sensor_names(["t", "p"])) == 12
 

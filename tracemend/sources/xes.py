@@ -146,9 +146,10 @@ def without_markers(log: DataFrame) -> DataFrame:
 def read_yaml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Events of YAML logs: documents apart by lines of ---; a `log` document names the trace, `event` documents follow.
 
-    A document is a row, so a long file is read by as many tasks as it has blocks. Each document is parsed by itself; the
-    trace of an event is the last one named before it in its block, or else at the end of the blocks before. Needs PyYAML
-    on the executors. A document without either, or of another kind, gives no event.
+    A document is a row, so a long file is read by as many tasks as it has blocks. Each document is parsed by itself, once, and
+    what it says is stored in the shared folder; the trace of an event is the last one named before it in its block, or else at
+    the end of the blocks before. Needs PyYAML on the executors, and takes its C parser where that was built. A document without
+    either, or of another kind, gives no event.
     """
     from pyspark.sql import Window
 
@@ -161,16 +162,21 @@ def read_yaml(spark: SparkSession, path: str | list[str]) -> DataFrame:
         import pandas as pd
         import yaml
 
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+        here, trace = None, None
         for pdf in batches:
             out = []
             for text, f, block, at in zip(pdf["value"], pdf["file_path"], pdf["block"], pdf["at"], strict=True):
-                doc = yaml.safe_load(text.lstrip("-"))
+                if here != (f, block):
+                    here, trace = (f, block), None
+                doc = yaml.load(text.lstrip("-"), Loader=loader)
                 if not isinstance(doc, dict):
                     continue
                 if "log" in doc:
                     name = ((doc["log"] or {}).get("trace") or {}).get("concept:name")
                     if name is not None:
-                        out.append((str(name), None, None, None, None, None, None, f, block, at))
+                        trace = str(name)
+                        out.append((True, trace, None, None, None, None, None, None, f, block, at))
                 elif "event" in doc:
                     e = doc["event"] or {}
                     raw = {}
@@ -178,15 +184,17 @@ def read_yaml(spark: SparkSession, path: str | list[str]) -> DataFrame:
                         if p := item.get("stream:point"):
                             raw[f"{p.get('stream:source') or p.get('stream:system') or ''}/{p.get('stream:id') or str(p.get('stream:observation') or '').rpartition('#')[2]}"] = str(p.get("stream:value"))
                     text_of = lambda k, e=e: None if e.get(k) is None else str(e[k])
-                    out.append((None, text_of("concept:name"), text_of("time:timestamp"), text_of("lifecycle:transition"), text_of("org:resource"), {k: str(v) for k, v in e.items() if k not in (*CORE, "stream:datastream") and v is not None}, raw, f, block, at))
-            yield pd.DataFrame(out, columns=["trace", "activity", "timestamp", "lifecycle", "resource", "attributes", "raw", "file_path", "block", "at"])
-
-    t = docs.mapInPandas(each, "trace string, activity string, timestamp string, lifecycle string, resource string, attributes map<string,string>, raw map<string,string>, file_path string, block long, at long")
-    inside = Window.partitionBy("file_path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    last = t.where("trace is not null").groupBy("file_path", "block").agg(F.max_by("trace", "at").alias("_last"))
-    blocks = t.select("file_path", "block").distinct().join(last, ["file_path", "block"], "left")
-    carried = blocks.select("file_path", "block", F.last("_last", ignorenulls=True).over(Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))  # a row for each block
-    t = t.withColumn("_own", F.last("trace", ignorenulls=True).over(inside)).join(carried, ["file_path", "block"]).where("trace is null").withColumn("case_id", F.coalesce("_own", "_carried")).sortWithinPartitions("file_path", "block", "at")
+                    out.append((False, trace, text_of("concept:name"), text_of("time:timestamp"), text_of("lifecycle:transition"), text_of("org:resource"), {k: str(v) for k, v in e.items() if k not in (*CORE, "stream:datastream") and v is not None}, raw, f, block, at))
+            yield pd.DataFrame(out, columns=["names", "trace", "activity", "timestamp", "lifecycle", "resource", "attributes", "raw", "file_path", "block", "at"])
+
+    kind = "names boolean, trace string, activity string, timestamp string, lifecycle string, resource string, attributes map<string,string>, raw map<string,string>, file_path string, block long, at long"
+    at = f"{log_folder(spark)}/documents"
+    docs.mapInPandas(each, kind).write.parquet(at)
+    t = spark.read.schema(kind).parquet(at)
+    last = t.groupBy("file_path", "block").agg(F.max_by("trace", F.when(F.col("names"), F.col("at"))).alias("_last"))
+    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("file_path", "block", F.last("_last", ignorenulls=True).over(before).alias("_carried")).where("_carried is not null")  # a row for each block
+    t = t.where(~F.col("names")).join(F.broadcast(carried), ["file_path", "block"], "left").withColumn("case_id", F.coalesce("trace", "_carried"))
     return t.select(
         F.lit(None).cast("long").alias("seq"), "case_id", F.col("case_id").alias("subprocess_id"), label("activity").alias("activity"), C.naive_timestamp(F.replace(F.col("timestamp"), F.lit(" "), F.lit("T"))).alias("ts"), "lifecycle", "resource",
         "attributes", F.map_filter(F.transform_values("raw", lambda _, v: C.number(v)), lambda _, v: v.isNotNull()).alias("sensors"), F.col("raw").alias("sensors_raw"), "file_path", F.col("at").alias("pos"),
