@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemend import config
-from tracemend.operators import autoencoder, cascade, discovery, drift, evaluation, metrics, payload, running
+from tracemend.operators import autoencoder, cascade, clusters, discovery, drift, evaluation, metrics, payload, running
 from tracemend.operators.cascade import Gates
 from tracemend.sources import clinical, files, xes
 
@@ -194,6 +194,19 @@ def test_rounding_as_sql(spark):
     assert [r[0] for r in t.select(C.rounded(F.col("d"), 4)).collect()] == [1.2257, -1.2257, 0.5, None]
 
 
+def test_full_distances_of_odd_vectors(spark):
+    """Null vectors, null, infinite and undefined entries, another width: in no cluster, and at no distance."""
+    plain = [[float(i), float(i * i % 7)] for i in range(8)]
+    odd = [None, [None, 1.0], [float("nan"), 1.0], [float("inf"), 1.0], [1.0], []]
+    make = lambda zs: spark.createDataFrame([(i, 1, z) for i, z in enumerate(zs)], "vec_id long, label int, z array<double>").repartition(9)
+    both, alone = make(plain + odd), make(plain)
+    want = {r["vec_id"]: r["d"] for r in rows(clusters.full_distances(alone, clusters.full_clusters(alone)))}
+    got = {r["vec_id"]: (r["n"], r["d"]) for r in rows(clusters.full_distances(both, clusters.full_clusters(both)))}
+    assert len(got) == len(plain + odd) and {n for n, _ in got.values()} == {len(plain)}
+    assert all(got[i][1] == pytest.approx(want[i]) for i in want) and all(got[i][1] is None for i in range(len(plain), len(got)))
+    assert clusters.full_clusters(make(odd[:1])) == {} and rows(clusters.full_distances(both, {})) == []
+
+
 def test_yaml_is_parsed_once(spark, tmp_path):
     """Each document once, whatever reads the log; events before any trace of their block belong to the trace of the blocks before."""
     events = "".join(f'---\nevent:\n  "concept:name": "e{i}"\n  "time:timestamp": "2024-01-01T00:00:{i % 60:02d}"\n' for i in range(300))

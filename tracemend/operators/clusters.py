@@ -136,8 +136,25 @@ def grid(scored: DataFrame, alphas: list[float], strengths: list[float]) -> Data
 # ---- full covariance: linear algebra on Arrow batches, with the clusters as one bounded broadcast
 
 
+def usable(z, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of some vectors are there, `dims` wide and finite throughout, and those as a matrix."""
+    fits = np.array([v is not None and len(v) == dims for v in z], bool)
+    x = np.array([v for v, f in zip(z, fits, strict=True) if f], float).reshape(int(fits.sum()), dims)
+    finite = np.isfinite(x).all(axis=1)
+    fits[fits] = finite
+    return fits, x[finite]
+
+
 def full_clusters(points: DataFrame, epsilon: float = 1e-4) -> dict:
-    """label -> (n, centroid, inverse covariance); one d*d matrix for each label meets on the driver."""
+    """label -> (n, centroid, inverse covariance); one d*d matrix for each label meets on the driver.
+
+    Vectors that are null, or hold a null or what is not finite, are in no cluster, nor are those of another width than most.
+    """
+    width = F.size("z")
+    most = points.where("label is not null and z is not null").groupBy(width.alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()  # a row for each width
+    if most is None:
+        return {}
+    dims = most["d"]
 
     def partial(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -145,10 +162,13 @@ def full_clusters(points: DataFrame, epsilon: float = 1e-4) -> dict:
         sums: dict = {}
         for pdf in batches:
             for label, g in pdf.groupby("label"):
-                z = np.stack(g["z"].to_numpy()).astype(float)
+                _, z = usable(g["z"], dims)
+                if not len(z):
+                    continue
                 n, s, q = sums.get(label, (0, 0.0, 0.0))
                 sums[label] = (n + len(z), s + z.sum(axis=0), q + z.T @ z)
-        yield pd.DataFrame({"label": list(sums), "n": [x[0] for x in sums.values()], "s": [x[1].tolist() for x in sums.values()], "q": [x[2].ravel().tolist() for x in sums.values()]})
+        if sums:  # a frame without rows has no type for its arrays
+            yield pd.DataFrame({"label": list(sums), "n": [x[0] for x in sums.values()], "s": [x[1].tolist() for x in sums.values()], "q": [x[2].ravel().tolist() for x in sums.values()]})
 
     add = lambda c: F.aggregate(F.slice(c, 2, F.size(c)), c[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
     parts = points.where("label is not null").select("label", "z").mapInPandas(partial, "label int, n long, s array<double>, q array<double>")
@@ -167,7 +187,7 @@ def full_clusters(points: DataFrame, epsilon: float = 1e-4) -> dict:
 
 
 def full_distances(points: DataFrame, clusters: dict, least: int = 2) -> DataFrame:
-    """(vec_id, label, n, d) under full covariances; no distance to clusters of fewer than `least` events."""
+    """(vec_id, label, n, d) under full covariances; no distance to clusters of fewer than `least` events, a null one of vectors that full_clusters would not take."""
     shared = points.sparkSession.sparkContext.broadcast({k: v for k, v in clusters.items() if v[0] >= least})
 
     def each(batches: Iterator) -> Iterator:
@@ -176,9 +196,10 @@ def full_distances(points: DataFrame, clusters: dict, least: int = 2) -> DataFra
         for pdf in batches:
             if not len(pdf):
                 continue
-            z = np.stack(pdf["z"].to_numpy()).astype(float)
+            fits, z = usable(pdf["z"], next((len(mean) for _, mean, _ in shared.value.values()), 0))
             for label, (n, mean, inverse) in shared.value.items():
-                d = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", z - mean, inverse, z - mean), 0))
+                d = np.full(len(pdf), np.nan)
+                d[fits] = np.sqrt(np.maximum(((z - mean) @ inverse * (z - mean)).sum(axis=1), 0))
                 yield pd.DataFrame({"vec_id": pdf["vec_id"], "label": label, "n": n, "d": d})
 
     return points.select("vec_id", "z").mapInPandas(each, "vec_id long, label int, n long, d double")
