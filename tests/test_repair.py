@@ -194,6 +194,25 @@ def test_rounding_as_sql(spark):
     assert [r[0] for r in t.select(C.rounded(F.col("d"), 4)).collect()] == [1.2257, -1.2257, 0.5, None]
 
 
+@pytest.mark.parametrize(("dims", "chunk"), [(2, 3), (5, 7), (5, 1000)])
+def test_links_in_chunks(spark, dims, chunk):
+    """The components of all near pairs, from no more links than a star in each pair of chunks has."""
+    from tracemend.operators.graphs import Scratch, components
+
+    draw = np.random.default_rng(dims)
+    z = np.concatenate([draw.normal(size=(60, dims)) * 0.2, draw.normal(size=(60, dims)) * 3])
+    cubes = spark.createDataFrame([(i, 2, (2 * v).tolist()) for i, v in enumerate(z)], "id long, n long, s array<double>").repartition(5)
+    scratch = Scratch(spark, "links")
+    links = discovery.linked(scratch, cubes, 1.0, chunk)
+    near = ((z[:, None] - z[None]) ** 2).sum(axis=2) <= 1.0
+    group = list(range(len(z)))
+    for _ in z:  # the least number among the near ones, until nothing changes
+        group = [min(group[j] for j in np.flatnonzero(n)) for n in near]
+    got = {r["id"]: r["component"] for r in rows(components(scratch, links))}
+    assert [got.get(i, i) for i in range(len(z))] == group
+    assert chunk < 1000 or links.count() < 8 * len(z)
+
+
 def test_full_distances_of_odd_vectors(spark):
     """Null vectors, null, infinite and undefined entries, another width: in no cluster, and at no distance."""
     plain = [[float(i), float(i * i % 7)] for i in range(8)]

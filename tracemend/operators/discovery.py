@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY_DIMS = 3  #: projections that make the cells by which near ones are found
+CHUNK = 1 << 11  #: cells that meet as many others at a time
 
 
 def directions(dims: int, keys: int = KEY_DIMS) -> np.ndarray:
@@ -54,12 +55,39 @@ def cells(points: DataFrame, radius: float) -> DataFrame:
     return parts.groupBy("cube").agg(F.sum("n").alias("n"), add.alias("s"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
 
 
-def linked(scratch, cubes: DataFrame, radius: float) -> DataFrame:
-    """(id, group): cells by number, joined where the means of two lie within the radius of each other.
+def forest(near: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For rows and columns of a matrix of who is near whom, the number of their component, -1 for those near none; own: rows and columns are the same."""
+    a = np.full(near.shape[0], -1)
+    b = a if own else np.full(near.shape[1], -1)
+    for i in np.flatnonzero(near.any(axis=1)):
+        if a[i] >= 0:
+            continue
+        a[i], front = i, np.array([i])
+        while len(front):
+            hit = np.flatnonzero(near[front].any(axis=0) & (b < 0))
+            b[hit] = i
+            front = hit if own or not len(hit) else np.flatnonzero(near[:, hit].any(axis=1) & (a < 0))
+            a[front] = i
+    return a, b
+
+
+def within(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
+    """Which rows of x and y lie within the radius of each other; where the product leaves it open, by the sum of squares itself."""
+    square = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+    far = square - 2 * (x @ y.T)
+    near = far <= radius * radius
+    i, j = np.nonzero(np.abs(far - radius * radius) <= 1e-12 * (square + radius * radius))
+    near[i, j] = np.cumsum((x[i] - y[j]) ** 2, axis=1)[:, -1] <= radius * radius
+    return near
+
+
+def linked(scratch, cubes: DataFrame, radius: float, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): cells by number, that have the components of all pairs whose means lie within the radius of each other.
 
     Two means that near have projections in the same or in neighbouring places of the grid, so each cell meets those of the
-    places around its own. The work grows with the cells of such places: where the radius is as wide as all points lie
-    apart, that is each cell with each, so the radius should be that of one group.
+    places around its own: a place is cut into chunks, a task takes one pair of chunks at a time as a product of matrices, and
+    of what is near there only a star for each component leaves it. The work still grows with the cells of such places: where
+    the radius is as wide as all points lie apart, that is each cell with each, so the radius should be that of one group.
     """
 
     def place(batches: Iterator) -> Iterator:
@@ -77,10 +105,48 @@ def linked(scratch, cubes: DataFrame, radius: float) -> DataFrame:
     around = [[]]
     for _ in range(dims[0] if dims else 0):
         around = [[*p, d] for p in around for d in (-1, 0, 1)]
-    here = placed.select(F.col("id").alias("a"), F.col("mean").alias("ma"), F.explode(F.array(*(F.array(*(F.get("home", F.lit(i)) + d for i, d in enumerate(p))) for p in around))).alias("home"))
-    there = placed.select(F.col("id").alias("b"), F.col("mean").alias("mb"), "home")
-    far = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
-    return scratch.keep(here.join(there, "home").where((F.col("a") < F.col("b")) & (far <= radius * radius)).select("a", "b"))
+    places = scratch.keep(placed.groupBy("home").agg(F.ceil(F.count("*") / chunk).alias("chunks")))
+    chunked = placed.join(places, "home").select("id", "mean", "home", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"))
+    every = places.select("home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))  # a row for each chunk
+    here = every.select(F.col("home").alias("x"), F.col("chunk").alias("i"), F.explode(F.array(*(F.array(*(F.get("home", F.lit(k)) + d for k, d in enumerate(p))) for p in around))).alias("y"))
+    pairs = here.join(every.select(F.col("home").alias("y"), F.col("chunk").alias("j")), "y").where((F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & (F.col("i") <= F.col("j"))))
+    pairs = scratch.keep(pairs.select("x", "i", "y", "j", F.monotonically_increasing_id().alias("pair")))
+    own = (F.col("x") == F.col("y")) & (F.col("i") == F.col("j"))
+    ends = pairs.select("pair", F.lit(0).alias("side"), F.col("x").alias("home"), F.col("i").alias("chunk")).unionByName(pairs.where(~own).select("pair", F.lit(1).alias("side"), F.col("y").alias("home"), F.col("j").alias("chunk")))
+    met = chunked.join(ends, ["home", "chunk"]).select("pair", "side", "id", "mean").repartition("pair").sortWithinPartitions("pair")
+
+    def stars(pdf):
+        import pandas as pd
+
+        side, ids = pdf["side"].to_numpy(), pdf["id"].to_numpy()
+        z = np.stack(pdf["mean"].to_numpy())
+        alone = not side.any()
+        x, y = z[side == 0], z if alone else z[side == 1]
+        near = within(x, y, radius)
+        if alone:
+            np.fill_diagonal(near, False)
+        a, b = forest(near, alone)
+        t = pd.DataFrame({"c": a if alone else np.concatenate([a, b]), "b": ids if alone else np.concatenate([ids[side == 0], ids[side == 1]])})
+        t = t[t["c"] >= 0]
+        t["a"] = t.groupby("c")["b"].transform("min")
+        return t.loc[t["a"] < t["b"], ["a", "b"]]
+
+    def each(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf["pair"] == pdf["pair"].iloc[-1]
+            rest = pdf[last]
+            for _, g in pdf[~last].groupby("pair", sort=False):
+                yield stars(g)
+        if rest is not None and len(rest):
+            yield stars(rest)
+
+    return scratch.keep(met.mapInPandas(each, "a long, b long").distinct())
 
 
 def discover(points: DataFrame, known: np.ndarray, radius: float, least: int = 10, persist: int = 5, separation: float = 3.0, first_number: int = 1) -> DataFrame:
