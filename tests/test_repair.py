@@ -194,6 +194,13 @@ def test_rounding_as_sql(spark):
     assert [r[0] for r in t.select(C.rounded(F.col("d"), 4)).collect()] == [1.2257, -1.2257, 0.5, None]
 
 
+def test_a_part_is_one_file(spark, tmp_path):
+    """However many tasks hold rows of it."""
+    files.write_batches(spark.range(1000).withColumnRenamed("id", "k").repartition(7), "k", 40, f"file://{tmp_path}/parts")
+    found = [p for p in (tmp_path / "parts").rglob("*.parquet")]
+    assert len(found) == 25 and spark.read.parquet(f"file://{tmp_path}/parts").count() == 1000
+
+
 @pytest.mark.parametrize(("dims", "chunk"), [(2, 3), (5, 7), (5, 1000)])
 def test_links_in_chunks(spark, dims, chunk):
     """The components of all near pairs, from no more links than a star in each pair of chunks has."""

@@ -70,7 +70,11 @@ def load_tables(spark: SparkSession, folder: str, names: list[str], target: str,
 
 
 def write_batches(rows: DataFrame, key: str, size: int, path: str) -> None:
-    """rows in parts of `size` consecutive numbers of `key`; parts that are there from an earlier run stay as they are."""
+    """rows in parts of `size` consecutive numbers of `key`; parts that are there from an earlier run stay as they are.
+
+    A part is one file of one task, which moves it in place when it is done: the driver would move the files of all tasks one
+    by one. So a part is there whole or not at all, also after a run that failed.
+    """
     from pyspark.sql import functions as F
 
     part = F.floor(F.col(key) / size)
@@ -78,7 +82,7 @@ def write_batches(rows: DataFrame, key: str, size: int, path: str) -> None:
     if exists(rows.sparkSession, path):
         done = rows.sparkSession.read.parquet(path).select("part").distinct()
         todo = todo.join(F.broadcast(done), "part", "left_anti")  # a row for each part
-    todo.write.mode("append").partitionBy("part").parquet(path)
+    todo.repartition("part").write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("part").parquet(path)
 
 
 def rename_parts(spark: SparkSession, path: str, ending: str) -> None:
