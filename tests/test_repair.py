@@ -323,3 +323,24 @@ def test_logs_as_streams(spark, tmp_path):
     with gzip.open(tmp_path / "one.xes" / "one.xes.gz", "wt") as f:
         f.write((tmp_path / "in" / "1.xes").read_text())
     assert sorted(r["attributes"]["cost"] for r in rows(xes.read_single(spark, f"{at}/one.xes"))) == ["1"] * 4
+
+
+def test_a_batch_of_files_keeps_all_cores_at_work(spark, monkeypatch):
+    """A file is one task: three at a time would leave the other cores idle, however many files there are."""
+    from tracemend.plans import streams
+    from tracemend.sources import xes
+
+    class Enough(Exception):
+        pass
+
+    told = []
+
+    def read(*args, files_a_batch, **rest):
+        told.append(files_a_batch)
+        raise Enough
+
+    monkeypatch.setattr(xes, "write_xml", lambda *args: None)
+    monkeypatch.setattr(xes, "read_xml", read)
+    with pytest.raises(Enough):
+        streams.stream_xes(spark, "/root/testdata/sf0.001")
+    assert told == [spark.sparkContext.defaultParallelism] == [4]

@@ -52,7 +52,10 @@ def stream_case_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_xes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A growing folder of XES logs as a stream: half of the cases' files land, and are read, before the other half; events without a label are left out on the way."""
+    """A growing folder of XES logs as a stream: half of the cases' files land, and are read, before the other half; events without a label are left out on the way.
+
+    A file is read by one task, so a micro-batch takes as many files as there are cores, or three if that is more.
+    """
     from tracemend.sources import xes
 
     folder = _folder(spark, "xes")
@@ -62,7 +65,7 @@ def stream_xes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = None
     for part in (0, 1):
         xes.write_xml(log.where(half == part), f"{folder}/in/{part}")
-        events = xes.read_xml(spark, f"{folder}/in", streaming=True, files_a_batch=3).where("activity is not null")
+        events = xes.read_xml(spark, f"{folder}/in", streaming=True, files_a_batch=max(3, spark.sparkContext.defaultParallelism)).where("activity is not null")
         events = events.select("case_id", "pos", "activity", F.try_element_at("attributes", F.lit("k")).alias("k"), F.try_element_at("sensors", F.lit("meter/value")).alias("value"))
         events.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(events.schema).parquet(f"{folder}/out").withColumn("pos", F.col("pos").cast("long"))

@@ -25,9 +25,13 @@ TRACE = ", ".join(f"{k} {_KEYED}" for k in _KINDS) + f", event array<{_EVENT}>"
 CORE = ["concept:name", "time:timestamp", "lifecycle:transition", "org:resource"]
 
 
+def pairs_of(s: Column) -> Column:
+    return F.concat(*(F.coalesce(s[k], F.array().cast(_KEYED)) for k in _KINDS))
+
+
 def keyed(s: Column) -> Column:
     """All attributes of an element as one map; of equal keys the first counts."""
-    pairs = F.concat(*(F.coalesce(s[k], F.array().cast(_KEYED)) for k in _KINDS))
+    pairs = pairs_of(s)
     return F.map_from_entries(F.aggregate(pairs, F.array().cast(_KEYED), lambda a, p: F.when(F.exists(a, lambda q: q["_key"] == p["_key"]), a).otherwise(F.concat(a, F.array(p)))))
 
 
@@ -37,11 +41,11 @@ def points(lists: Column) -> Column:
     here = F.filter(all_, lambda p: p["_key"] == "stream:point")
 
     def entry(p: Column) -> Column:
-        a = keyed(p)
-        source = F.coalesce(p["_stream:source"], p["_stream:system"], F.try_element_at(a, F.lit("stream:source")), F.try_element_at(a, F.lit("stream:system")), F.lit(""))
-        seen = F.coalesce(p["_stream:observation"], F.try_element_at(a, F.lit("stream:observation")))
-        name = F.coalesce(p["_stream:id"], F.try_element_at(a, F.lit("stream:id")), F.element_at(F.split(seen, "#"), -1), F.lit(""))
-        return F.struct(F.concat_ws("/", source, name).alias("key"), F.try_element_at(a, F.lit("stream:value")).alias("value"))
+        at = lambda key: F.get(F.filter(pairs_of(p), lambda q: q["_key"] == key), F.lit(0))["_value"]  # noqa: E731  # no map of all is made for each look
+        source = F.coalesce(p["_stream:source"], p["_stream:system"], at("stream:source"), at("stream:system"), F.lit(""))
+        seen = F.coalesce(p["_stream:observation"], at("stream:observation"))
+        name = F.coalesce(p["_stream:id"], at("stream:id"), F.element_at(F.split(seen, "#"), -1), F.lit(""))
+        return F.struct(F.concat_ws("/", source, name).alias("key"), at("stream:value").alias("value"))
 
     readings = F.transform(here, entry)
     return F.map_from_entries(F.aggregate(readings, F.array().cast("array<struct<key:string,value:string>>"), lambda a, p: F.concat(F.filter(a, lambda q: q["key"] != p["key"]), F.array(p))))
