@@ -325,3 +325,29 @@ def test_arbitration(spark):
 def test_warmup_end(spark):
     data = [(i, "c", "abcde"[min(i // 10, 4)] if i < 300 else "e") for i in range(900)]
     assert features.warmup_end(spark.createDataFrame(data, "seq long, case_id string, activity string")).first()[0] == 900 + 100
+
+
+def test_payload_cells_are_those_of_the_plain_functions(spark):
+    """Numbers and hashes, for hashes of any width."""
+    from tracemend.functions import columns as C
+    from tracemend.operators import payload
+
+    texts = ["12", " -1.5e2 ", "yes", "['a', 'b']", "{'a': '1'}", "", "NaN", "inf", "+.5", "0x", "né", None, "n", "x" * 300]
+    log = spark.createDataFrame([(i, {"a": t} if i else {}) for i, t in enumerate(texts)], "seq long, attributes map<string,string>")
+    for size in (4, 7, 8, 16):
+        got = {r["seq"]: r["payload"] for r in payload.payload(log, ["a", "b"], size).collect()}
+        v, keys = F.try_element_at("attributes", F.lit("a")), F.array_join(F.map_keys("attributes"), "|")
+        want = log.where("seq > 0").select("seq", v.try_cast("double").alias("n"), C.hash_vector(F.substring(F.coalesce(v, F.lit("None")), 1, 200), size).alias("h"), C.hash_vector(keys, size).alias("k")).collect()
+        for r in want:
+            p = got[r["seq"]]
+            assert p[6 : 6 + size] == r["h"] and p[6 + size : 6 + 2 * size] == [0.0] * size and p[6 + 2 * size : 6 + 3 * size] == r["k"] and p[-1] == 1.0
+            assert p[4] == float(r["n"] is not None or (texts[r["seq"]] or "")[:1] in ("[", "{")) and (r["n"] is None or repr(p[2]) == repr(r["n"]))
+        assert got[0] == [0.0] * len(got[0])
+
+
+def test_payload_vectors_are_made_once(spark):
+    """No filter of the exploded vectors makes each of them once more."""
+    from tracemend.plans import extras
+
+    plan = extras.payload_vectors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" in plan and "Filter" not in plan

@@ -26,23 +26,40 @@ def sized_number(value: Column) -> Column:
     items = F.size(F.from_json(F.regexp_replace(value, "'", '"'), "array<string>"))
     entries = F.size(F.from_json(F.regexp_replace(value, "'", '"'), "map<string,string>"))
     listed, mapped = value.startswith("["), value.startswith("{")
-    return F.coalesce(C.number(value), F.when(listed & (items >= 0), items.cast("double")), F.when(mapped & (entries >= 0), entries.cast("double")))
+    may = value.rlike(r"^[\x00-\x20]*[+-]?[0-9.iInN]")  # whatever reads as a number begins so; trying others costs an exception each
+    return F.coalesce(F.when(may, C.number(value)), F.when(listed & (items >= 0), items.cast("double")), F.when(mapped & (entries >= 0), entries.cast("double")))
+
+
+def hash_words(text: Column, size: int) -> list[Column]:
+    """The first `size` bytes of a text's md5 as numbers of seven bytes each."""
+    return [F.conv(F.substring(F.md5(text), 2 * i + 1, 14), 16, 10).cast("long") for i in range(0, min(size, 16), 7)]
+
+
+def hash_cells(words: list[Column], size: int) -> list[Column]:
+    """columns.hash_vector of the same text, from hash_words."""
+    byte = lambda i: F.shiftright(words[i // 7], 8 * (min(7, 16 - i // 7 * 7) - 1 - i % 7)).bitwiseAND(255)
+    return [(byte(i).cast("double") / 255.0 * 2 - 1) if i < 16 else F.lit(None).cast("double") for i in range(size)]
 
 
 def payload(log: DataFrame, slots: list[str], hash_dim: int = 8, column: str = "attributes") -> DataFrame:
     """seq and payload: for each slot whether it is there, its number, whether it is one; hashes of the values; the hash of all keys; how many.
 
-    The width is len(slots) * (3 + hash_dim) + hash_dim + 1. Values are hashed by their first 200 characters.
+    The width is len(slots) * (3 + hash_dim) + hash_dim + 1. Values are hashed by their first 200 characters. What several cells
+    are made of, numbers and hashes, is found once a row.
     """
-    zeros = F.array_repeat(F.lit(0.0), hash_dim)
-    at = [F.try_element_at(column, F.lit(k)) for k in slots]
-    there = [F.when(F.map_contains_key(F.col(column), F.lit(k)), 1.0).otherwise(0.0) for k in slots]
-    number = [F.coalesce(sized_number(v), F.lit(0.0)) for v in at]
-    numeric = [F.when(sized_number(v).isNotNull(), 1.0).otherwise(0.0) for v in at]
-    hashes = [F.when(F.map_contains_key(F.col(column), F.lit(k)), C.hash_vector(F.substring(F.coalesce(v, F.lit("None")), 1, 200), hash_dim)).otherwise(zeros) for k, v in zip(slots, at, strict=True)]
     names = F.array_sort(F.map_keys(column))
-    all_ = F.when(F.size(names) > 0, C.hash_vector(F.array_join(names, "|"), hash_dim)).otherwise(zeros)
-    return log.select("seq", F.concat(F.array(*there, *number, *numeric), *hashes, all_, F.array(F.greatest(F.size(names), F.lit(0)).cast("double"))).alias("payload"))
+    at = [F.try_element_at(column, F.lit(k)) for k in slots]
+    has = [F.map_contains_key(F.col(column), F.lit(k)) for k in slots]
+    texts = [F.substring(F.coalesce(v, F.lit("None")), 1, 200) for v in at] + [F.array_join(names, "|")]
+    words = [w.alias(f"_w{j}_{g}") for j, x in enumerate(texts) for g, w in enumerate(hash_words(x, hash_dim))]
+    t = log.select("seq", F.size(names).alias("_size"), *(h.alias(f"_h{i}") for i, h in enumerate(has)), *(sized_number(v).alias(f"_n{i}") for i, v in enumerate(at)), *words)
+    groups = len(words) // len(texts)
+    of = lambda j, there: [F.when(there, c).otherwise(0.0) for c in hash_cells([F.col(f"_w{j}_{g}") for g in range(groups)], hash_dim)]
+    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    own = range(len(slots))
+    cells = [*(flag(F.col(f"_h{i}")) for i in own), *(F.coalesce(F.col(f"_n{i}"), F.lit(0.0)) for i in own), *(flag(F.col(f"_n{i}").isNotNull()) for i in own)]
+    hashes = [c for i in own for c in of(i, F.col(f"_h{i}"))] + of(len(slots), F.col("_size") > 0)
+    return t.select("seq", F.array(*cells, *hashes, F.greatest(F.col("_size"), F.lit(0)).cast("double")).alias("payload"))
 
 
 def sensor_names(sensors: list[str]) -> list[str]:

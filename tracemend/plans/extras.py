@@ -22,9 +22,10 @@ def folder(spark: SparkSession, name: str) -> str:
 
 def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log with a map of attributes whose keys come in by and by."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("_k")  # read from the text once a row
     pairs = F.create_map(F.lit("k"), k.cast("string"), F.lit("user"), F.col("case_id"), F.lit("even"), F.when(k % 2 == 0, "yes"), F.lit("list"), F.when(k % 3 == 0, F.concat(F.lit("['a', '"), k.cast("string"), F.lit("']"))), F.lit("late"), F.when(F.col("seq") > 500, "x"))
-    return log(spark, sf_dir).withColumn("attributes", F.map_filter(pairs, lambda _, v: v.isNotNull()))
+    t = log(spark, sf_dir).withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
+    return t.withColumn("attributes", F.map_filter(pairs, lambda _, v: v.isNotNull())).drop("_k")
 
 
 _ATTR = f"""{LOG}, kv AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM log),
@@ -45,7 +46,8 @@ SLOTS, HASH = ["k", "even", "list"], 4
 
 def payload_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payload vectors by cell: how often each isn't 0, and its sum."""
-    v = payload.payload(attributed(spark, sf_dir), SLOTS, HASH).select(F.posexplode("payload").alias("cell", "v"))
+    # no vector is empty; a plain explode would first make each vector once more to see that
+    v = payload.payload(attributed(spark, sf_dir), SLOTS, HASH).select(F.posexplode_outer("payload").alias("cell", "v"))
     return v.groupBy("cell").agg(F.count_if(F.col("v") != 0).alias("used"), F.round(F.sum("v"), 4).alias("total"))
 
 
