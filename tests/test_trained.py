@@ -44,6 +44,25 @@ def test_running_covariances(spark, block_rows):
     assert len(got) == sum(a for *_, a in rows)
 
 
+def test_sums_of_blocks_are_made_once(spark):
+    """The vectors go through Python twice: for the sums of blocks and for the rows in order."""
+    frame = spark.createDataFrame([(0, "a", [1.0], True)], "seq long, label string, z array<double>, asked boolean")
+    plan = trained.running_full(frame, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+
+
+def test_few_products_are_held_at_once(spark, monkeypatch):
+    """Batches cut smaller give the same rows; null entries and vectors have no distance."""
+    draw = np.random.default_rng(5)
+    rows = [(i, "ab"[i % 2] if i % 3 else None, draw.normal(size=2).tolist(), i % 3 == 0) for i in range(200)] + [(200, None, [None, 1.0], True), (201, None, None, True)]
+    frame = spark.createDataFrame(rows, "seq long, label string, z array<double>, asked boolean")
+    found = lambda: {r["seq"]: [tuple(c) for c in r["candidates"]] for r in trained.running_full(frame, 2, block_rows=64).collect()}
+    whole = found()
+    monkeypatch.setattr(trained, "CELLS", 30)
+    assert found() == whole and len(whole) == 69
+    assert [(a, d) for a, _, d in whole[200]] == [(a, d) for a, _, d in whole[201]] == [("a", None), ("b", None)]
+
+
 def test_warmup_end(spark):
     log = spark.createDataFrame([(i, "ab"[i > 40]) for i in range(100)], "seq long, activity string")
     assert [trained.warmup_end(log, *a) for a in ((10, 90, 2), (60, 90, 2), (10, 30, 2), (10, 90, 1), (10, 90, 3))] == [42, 60, 30, 10, 90]

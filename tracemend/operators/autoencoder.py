@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,15 +191,29 @@ def tune(rows: DataFrame, model: Autoencoder, column: str = "x", order: str = "s
     return model if len(some) < least else fit(np.array([r[0] for r in some], float), start=model, **options)
 
 
+def matrix(lists: pa.Array, width: int) -> np.ndarray:
+    """Lists of `width` numbers as rows; a null list, or a null in one, is nan."""
+    out, there = np.full((len(lists), width), np.nan), lists.drop_null()
+    if len(there) and set(there.value_lengths().unique().to_pylist()) != {width}:
+        raise ValueError(f"vectors that are not {width} wide")
+    if len(there):
+        out[lists.is_valid().to_numpy(zero_copy_only=False)] = there.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(there), width)
+    return out
+
+
 def encode(rows: DataFrame, model: Autoencoder, column: str = "x") -> DataFrame:
     """rows with z and error in place of the vector."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in rows.schema.fields if f.name != column]
-
-    def each(batches: Iterator) -> Iterator:
-        for pdf in batches:
-            if len(pdf):
-                z, error = shared.value.encode(np.stack(pdf[column].to_numpy()).astype(float))
-                yield pdf.drop(columns=[column]).assign(z=list(z), error=error)
-
-    return rows.mapInPandas(each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", z array<double>, error double")
+    width = len(model.mean)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                if b[column].null_count:
+                    raise ValueError("a row without a vector")
+                z, error = shared.value.encode(matrix(b[column], width))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1) * z.shape[1], pa.int32()), pa.array(np.ascontiguousarray(z).ravel()))
+                yield pa.RecordBatch.from_arrays([*(b[f.name] for f in kept), lists, pa.array(error)], names=[*(f.name for f in kept), "z", "error"])
+
+    return rows.mapInArrow(each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", z array<double>, error double")

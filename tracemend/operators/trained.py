@@ -20,9 +20,10 @@ from tracemend.operators import autoencoder, cache, calibration, clusters, injec
 from tracemend.operators.cascade import KEPT, Gates, confident, decide
 from tracemend.operators.features import FIRST_ID, MISSING, PAD
 from tracemend.operators.running import sure_cut
-from tracemend.schema import UNRECOVERED
+from tracemend.schema import NORMAL, UNRECOVERED
 
 BLOCK_ROWS = 1 << 13
+CELLS = 1 << 20  #: products of vectors with themselves that a task holds at once, about
 CANDIDATES = "array<struct<label:string,n:bigint,d:double>>"
 
 
@@ -30,37 +31,58 @@ CANDIDATES = "array<struct<label:string,n:bigint,d:double>>"
 
 
 class Scatter:
-    """Number, sum and sum of products of the vectors of each label."""
+    """Number, sum and sum of products of the vectors of each label, as one row of 1 + dims + dims * dims cells."""
 
     def __init__(self, dims: int, epsilon: float):
         self.dims, self.epsilon = dims, epsilon
-        self.of: dict[str, tuple[int, np.ndarray, np.ndarray]] = {}
-        self.inverse: dict[str, np.ndarray] = {}
-
-    def add(self, label: str, n: int, s: np.ndarray, q: np.ndarray) -> None:
-        m, t, r = self.of.get(label, (0, 0.0, 0.0))
-        self.of[label] = m + n, t + s, r + q
-        self.inverse.pop(label, None)
-
-    def distances(self, z: np.ndarray, least: int) -> list[dict]:
-        """Label, number and Mahalanobis distance, null for labels of fewer than `least` vectors."""
-        out = []
-        for label in sorted(self.of):
-            n, s, q = self.of[label]
-            d = None
-            if n >= max(least, 1):
-                mean = s / n
-                if label not in self.inverse:
-                    spread = q / n - np.outer(mean, mean) if n > 1 else np.zeros((self.dims, self.dims))
-                    try:
-                        self.inverse[label] = np.linalg.inv(spread + self.epsilon * np.eye(self.dims))
-                    except np.linalg.LinAlgError:
-                        self.inverse[label] = np.eye(self.dims) / self.epsilon
-                square = float((z - mean) @ self.inverse[label] @ (z - mean))
-                d = float(np.sqrt(square)) if np.isfinite(square) and square >= 0 else None
-            out.append({"label": label, "n": n, "d": d})
+        self.of: dict[str, np.ndarray] = {}
+
+    def add(self, label: str, own: np.ndarray) -> None:
+        self.of[label] = self.of[label] + own if label in self.of else own
+
+    def distances(self, z: np.ndarray, sums: np.ndarray, least: int) -> np.ndarray:
+        """Mahalanobis distances of vectors, each to the label whose sums stand in the same row; nan for fewer than `least` vectors and where there is none."""
+        d = self.dims
+        out = np.full(len(z), np.nan)
+        sure = np.flatnonzero(sums[:, 0] >= max(least, 1))
+        n, z = sums[sure, :1], z[sure]
+        mean = sums[sure, 1 : d + 1] / n
+        spread = sums[sure, d + 1 :].reshape(-1, d, d) / n[:, :, None] - mean[:, :, None] * mean[:, None, :]
+        spread = np.where(n[:, :, None] > 1, spread, 0.0) + self.epsilon * np.eye(d)
+        try:
+            inverse = np.linalg.inv(spread)
+        except np.linalg.LinAlgError:
+            inverse = np.stack([self.inverse(m) for m in spread])
+        off = z - mean
+        square = np.einsum("ij,ij->i", (off[:, None, :] @ inverse)[:, 0], off)
+        with np.errstate(invalid="ignore"):
+            out[sure] = np.sqrt(np.where(np.isfinite(square), square, np.nan))
         return out
 
+    def inverse(self, spread: np.ndarray) -> np.ndarray:
+        try:
+            return np.linalg.inv(spread)
+        except np.linalg.LinAlgError:
+            return np.eye(self.dims) / self.epsilon
+
+    def through(self, codes: np.ndarray, names: list[str], z: np.ndarray, asked: np.ndarray, least: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+        """Label, numbers and distances for the rows that ask, at positions `asked`, under the vectors before each of them; then all rows are known. codes: of the rows' labels among `names`, -1 for none."""
+        own = products(z)
+        found = []
+        for label in sorted({*self.of, *names}):
+            rows = np.flatnonzero(codes == names.index(label)) if label in names else np.zeros(0, int)
+            upto = np.cumsum(np.vstack([self.of[label] if label in self.of else np.zeros(own.shape[1]), own[rows]]), axis=0)  # one after another, as if each were added
+            if len(asked):
+                sums = upto[np.searchsorted(rows, asked)]
+                found.append((label, sums[:, 0].astype(np.int64), self.distances(z[asked], sums, least)))
+            self.of[label] = upto[-1]
+        return found
+
+
+def products(z: np.ndarray) -> np.ndarray:
+    """1, the vector and its products with itself, in a row each."""
+    return np.hstack([np.ones((len(z), 1)), z, (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)])
+
 
 def running_full(events: DataFrame, least: int, epsilon: float = 1e-4, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(seq, candidates) of the rows of `events` (seq, label, z, asked) that ask: distances under the full covariance of each label's vectors before the row.
@@ -71,45 +93,66 @@ def running_full(events: DataFrame, least: int, epsilon: float = 1e-4, block_row
     dims = events.select(F.max(F.size("z"))).first()[0] or 0
     block = F.floor(F.col("seq") / block_rows).alias("block")
     cells = dims * dims + dims + 1
+    most = max(1, CELLS // cells)  # rows whose products are held at once
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, str], np.ndarray] = {}
-        for b in batches:
-            for k, label, z in zip(b["block"].to_pylist(), b["label"].to_pylist(), b["z"].to_pylist(), strict=True):
-                z = np.array(z, float)
-                own = np.concatenate([[1.0], z, np.outer(z, z).ravel()])
-                held[k, label] = held[k, label] + own if (k, label) in held else own
+        for whole in batches:
+            for b in (whole.slice(i, most) for i in range(0, whole.num_rows, most)):
+                coded = b["label"].dictionary_encode()
+                k, code, names = np.asarray(b["block"]), np.asarray(coded.indices), coded.dictionary.to_pylist()
+                order = np.lexsort((code, k))  # stable: rows of a block and label stay in order
+                k, code = k[order], code[order]
+                cuts = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (code[1:] != code[:-1])])
+                own = products(autoencoder.matrix(b["z"], dims)[order])
+                for at, end in zip(cuts, [*cuts[1:], len(k)], strict=True):
+                    key = int(k[at]), names[code[at]]
+                    held[key] = np.add.reduce(np.vstack([held[key], own[at:end]]) if key in held else own[at:end])  # row after row
         for (k, label), v in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([k] * cells, pa.int64()), pa.array([label] * cells), pa.array(range(cells), pa.int32()), pa.array(v)], names=["block", "label", "cell", "v"])
 
     known = events.where("label is not null").select(block, "label", "z")
     sums = known.mapInArrow(totals, "block long, label string, cell int, v double").groupBy("label", "cell", "block").agg(F.sum("v").alias("v"))
     # a label is known from its first block on, so a block needs each label's sums even where the block before it has none
-    every = sums.select("label", "cell").distinct().join(F.broadcast(events.select(block).distinct()))  # labels times cells; a row for each block
+    names = events.where("label is not null").select("label").distinct()  # not from `sums`, which would be made twice
+    every = names.select("label", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell")).join(F.broadcast(events.select(block).distinct()))  # labels times cells; a row for each block
     upto = Window.partitionBy("label", "cell").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = every.join(sums, ["label", "cell", "block"], "left").select("block", "label", "cell", F.sum("v").over(upto).alias("v")).where("v is not null")
     start = before.groupBy("block", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "v"))), lambda c: c["v"]).alias("z"))
     rows = events.select(block, F.lit(1).alias("side"), "seq", "label", "z", "asked")
     both = rows.unionByName(start.select("block", F.lit(0).alias("side"), F.lit(0).cast("long").alias("seq"), "label", "z", F.lit(False).alias("asked")))
-    schema = pa.schema([("seq", pa.int64()), ("candidates", pa.list_(pa.struct([("label", pa.string()), ("n", pa.int64()), ("d", pa.float64())])))])
+    kind = pa.struct([("label", pa.string()), ("n", pa.int64()), ("d", pa.float64())])
+    schema = pa.schema([("seq", pa.int64()), ("candidates", pa.list_(kind))])
 
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
-        for b in batches:
-            seqs, found = [], []
-            for k, side, seq, label, z, asked in zip(*(b[c].to_pylist() for c in ("block", "side", "seq", "label", "z", "asked")), strict=True):
-                if k != now:
-                    now, state = k, Scatter(dims, epsilon)
-                z = np.array(z, float)
-                if side == 0:
-                    state.add(label, round(z[0]), z[1 : dims + 1], z[dims + 1 :].reshape(dims, dims))
+        for whole in batches:
+            block, side = np.asarray(whole["block"]), np.asarray(whole["side"])
+            cuts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (side[1:] != side[:-1])]) if len(block) else []
+            for a, z in zip(cuts, [*cuts[1:], len(block)], strict=True):
+                if block[a] != now:
+                    now, state = block[a], Scatter(dims, epsilon)
+                if side[a] == 0:
+                    b = whole.slice(a, z - a)
+                    for label, own in zip(b["label"].to_pylist(), autoencoder.matrix(b["z"], cells), strict=True):
+                        state.add(label, own)
                     continue
-                if asked:
-                    seqs.append(seq)
-                    found.append(state.distances(z, least))
-                if label is not None:
-                    state.add(label, 1, z, np.outer(z, z))
-            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(found, schema.field(1).type)], schema=schema)
+                for i in range(a, z, most):
+                    b = whole.slice(i, min(most, z - i))
+                    coded = b["label"].dictionary_encode()
+                    asked = np.flatnonzero(b["asked"].to_numpy(zero_copy_only=False))
+                    found = state.through(coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), autoencoder.matrix(b["z"], dims), asked, least)
+                    if len(asked):
+                        yield pa.RecordBatch.from_arrays([b["seq"].take(pa.array(asked)), structs(found, len(asked))], schema=schema)
+
+    def structs(found: list[tuple[str, np.ndarray, np.ndarray]], rows: int) -> pa.Array:
+        """For each row the labels known by then, in order, with number and distance."""
+        n, d = (np.array([f[i] for f in found]).reshape(-1, rows).T for i in (1, 2))
+        there = n > 0
+        names = pa.array([f[0] for f in found], pa.string()).take(pa.array(np.nonzero(there)[1]))
+        d = d[there].astype(np.float64)
+        items = pa.StructArray.from_arrays([names, pa.array(n[there].astype(np.int64)), pa.array(d, mask=np.isnan(d))], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(there.sum(axis=1))], pa.int32()), items, type=schema.field(1).type)
 
     return both.repartition("block").sortWithinPartitions("block", "side", "seq").mapInArrow(through, f"seq long, candidates {CANDIDATES}")
 
@@ -264,8 +307,12 @@ def cascade(scratch, log: DataFrame, t: Trained, gates: Gates, rule: cache.Rule,
     ops = prefixes.with_prefix(coded.select("seq", "case_id", "activity", "taught"), order).select("seq", "prefix", F.col("taught").alias("activity"), missing.alias("asked"))
     asked = cache.asked(cache.arrivals(scratch, ops.where("activity is not null or asked").drop("asked")), rule)
     counted = asked.select("seq", F.col("best").alias("cache_label"), F.col("dominance").alias("cache_dom"), F.col("support").alias("cache_sup"))
-    rows = coded.select("seq", "case_id", "truth", "activity").join(found, "seq", "left").join(said, "seq", "left").join(counted, "seq", "left")
+    plain = coded.select("seq", "case_id", "truth", "activity")
+    rows = plain.where("activity is null").join(found, "seq", "left").join(said, "seq", "left").join(counted, "seq", "left")
     out = decide(weighed(rows, t, gates), gates)
-    early = F.col("activity").isNull() & (F.col("seq") < t.end)
+    early = F.col("seq") < t.end
     none = {"recovered": F.lit(None).cast("string"), "confidence": F.lit(0.0), "provenance": F.lit(UNRECOVERED), "step": F.lit("warm-up")}
-    return out.select(*(F.when(early, none[c]).otherwise(F.col(c)).alias(c) if c in none else F.col(c) for c in KEPT))
+    out = out.select(*(F.when(early, none[c]).otherwise(F.col(c)).alias(c) if c in none else F.col(c) for c in KEPT))
+    # a given label is what decide() makes of it, so most events join nothing
+    given = {"recovered": F.col("activity"), "confidence": F.lit(1.0), "provenance": F.lit(NORMAL), "step": F.lit("given")}
+    return out.unionByName(plain.where("activity is not null").select(*(given[c].alias(c) if c in given else c for c in KEPT)))
