@@ -1,6 +1,7 @@
 """Parts that SQL cannot express, against small expectations."""
 
 import math
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -10,11 +11,14 @@ from pyspark.sql import functions as F
 
 from tracemend.functions import columns as C
 from tracemend.operators import autoencoder, calibration, clusters, cooccurrence, discovery, drift, features, inject, metrics, prefixes, sequence, temporal
+from tracemend.plans import clinical as clinical_plans
 from tracemend.plans import models
 from tracemend.schema import from_events
 from tracemend.sources import clinical, syscalls, tables, xes
 from tracemend.streaming import cases, snapshot
 
+SF = "/root/testdata/sf0.001"
+
 
 def rows(df):
     return [r.asDict(recursive=True) for r in df.collect()]
@@ -296,6 +300,26 @@ def test_super_categories_are_looked_up_as_written(spark):
     assert got == {"Antibiotics": "MEDICATION_ABX", "antibiotics": "OTHER_TREATMENT", None: "OTHER_TREATMENT", "General": "OTHER_TREATMENT", "CVL Insertion": "VASCULAR_ACCESS", "new": "OTHER_TREATMENT"}
 
 
+def test_clinical_tables_are_joined_once(spark):
+    """Infusions, outputs and readings are read once each, whatever they make."""
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    plan = clinical_plans.clinical_attributes(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 3
+
+
+def test_both_ends_of_an_infusion(spark):
+    """An end needs both times; at one time a start comes first, and an input before a procedure."""
+    icu = spark.createDataFrame([(1, 10)], "stay_id long, hadm_id long")
+    spans = "stay_id long, itemid long, starttime string, endtime string"
+    when = lambda rows: spark.createDataFrame(rows, spans).withColumns({c: F.col(c).cast("timestamp") for c in ("starttime", "endtime")})
+    a, b = "2024-01-01 01:00:00", "2024-01-01 02:00:00"
+    tables = {"icustays": icu.withColumns({"intime": F.lit(None).cast("timestamp"), "outtime": F.lit(None).cast("timestamp")}), "inputevents": when([(1, 1, a, a), (1, 2, b, None), (1, 3, None, b)]), "procedureevents": when([(1, 4, a, b)])}
+    got = [(r["activity"][:5].strip(), r["attributes"]["item_label"], r["lifecycle"], r["ts"].hour) for r in clinical.stays(tables, optional=frozenset({"infusion_ends"})).orderBy("seq").collect()]
+    assert got == [("START", "item_1", "start", 1), ("END O", "item_1", "complete", 1), ("START", "item_4", "start", 1), ("START", "item_2", "start", 2), ("END O", "item_4", "complete", 2)]
+    assert clinical.stays(tables).where("activity like 'END%'").count() == 1
+
+
 def test_clinical_log(spark):
     t = lambda h, m=0: datetime(2024, 1, 1, h, m)
     make = lambda data, schema: spark.createDataFrame(data, schema)
